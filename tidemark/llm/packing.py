@@ -17,8 +17,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +38,7 @@ CAPACITY, END_ID = 2048, 0
 PART_PIECES, ROUNDS = 20_000, 6
 
 _LOADED: dict[str, tuple] = {}
-_EDGES = re.compile(r"\s\s|^\s|\s$|\x00")
+_DOUBLE = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -53,20 +56,27 @@ def _tokenizer(path: str):
 
 def words(text: str) -> list[str]:
     """text, cut before each blank that has no white space beside it. This tokenizer's pre-tokens take at most one blank, in front, so all its pre-tokens end at such a cut."""
-    if _EDGES.search(text):
+    if not text or text[0].isspace() or text[-1].isspace() or "\x00" in text or _DOUBLE.search(text):
         return _CUTS.split(text)
     return text.replace(" ", "\x00 ").split("\x00")
 
 
+def little_endian(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, from the tokenizer at path."""
     tokenizer, memo = _tokenizer(path)
     cut = [words(t) for t in texts]
 
     def compute(missing: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
+        return [little_endian(e.ids) for e in tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
 
-    known = memo.fill((w for ws in cut for w in ws), compute).__getitem__
+    known = memo.fill(chain.from_iterable(cut), compute).__getitem__
     return [b"".join(map(known, ws)) for ws in cut]
 
 
