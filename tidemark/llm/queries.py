@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, packing, pii, quality, token_counts, toxicity, warc
+from . import exact_dedup, fingerprints, nbest, near_dedup, packing, pii, quality, token_counts, toxicity, warc
 from ._common import table
 
 
@@ -26,10 +26,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(table(spark, sf_dir, "documents"))
 
 
+def op7_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.n_best(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op6_pii": op6_pii,
+    "op7_nbest": op7_nbest,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
