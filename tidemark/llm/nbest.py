@@ -124,7 +124,7 @@ class Pieces:
         """The words of a text, each with its blanks in front."""
         if not text:
             return []
-        plain = text.replace("\0", "\0").replace(BLANK, "\0") if BLANK in text or "\0" in text else text
+        plain = text.replace(BLANK, STAND_IN)
         if "  " not in plain and plain[0] != " " and plain[-1] != " ":
             return [BLANK + w for w in plain.split(" ")]
         out, blanks = [], BLANK
