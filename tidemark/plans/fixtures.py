@@ -124,11 +124,11 @@ SQL = {
 def oracle(body: str) -> str:
     """body behind the definitions that it needs, in order; $as_of is the constant clock."""
     body = body.replace("$as_of", f"TIMESTAMP '{AS_OF}'")
-    need, grown = set(), True
-    while grown:
-        text = body + " ".join(SQL[n] for n in need)
-        now = {n for n in SQL if re.search(rf"\b(FROM|JOIN|,)\s+{n}\b", text)}
-        need, grown = now, now != need
+    need, new = set(), {body}
+    while new:
+        found = {n for text in new for n in SQL if re.search(rf"(\bFROM|\bJOIN|,)\s+{n}\b", text)} - need
+        need |= found
+        new = {SQL[n] for n in found}
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in SQL if n in need)
     if not ctes:
         return body
