@@ -13,7 +13,7 @@ their alternatives. Words met before are remembered, within a bound. Long runs w
 proportional to their length.
 
 As in the library, a text gets a blank in front and blanks are written as U+2581; that character itself in a text is
-written in bytes. Ties in score go to the path that is smaller as a list of ids, from its end.
+written in bytes. Ties in score go to the path that the search finds first, the same in every run.
 
 Cases: a null or empty text has one path, without pieces, of score 0. Texts with fewer than N paths give those they
 have. Copies get equal results; an empty table gives an empty result; other columns are not read.
@@ -97,27 +97,38 @@ class Pieces:
                 if w > s:
                     s = w
             best[end], second[end], back[end] = b, s, at
-        ids, end = [], n
+        parts, end = [], n
         while end:
             start = back[end]
-            ids[:0] = self.edge(word[start:end])[1]
+            parts.append(self.edge(word[start:end])[1])
             end = start
-        return best, second[n], array("I", ids).tobytes()
+        return best, second[n], array("I", chain.from_iterable(reversed(parts))).tobytes()
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths of a word: A* from the end, with the forward scores as exact rests."""
+        """The n best paths of a word: A* from the end, with the forward scores as exact rests.
+
+        A position is expanded n times at most: what comes to it later is worse than n paths through it. Paths share
+        their ends, as linked lists, so that a word takes time and memory proportional to its length.
+        """
         best = self.forward(word)[0]
-        heap, out = [(-best[len(word)], (), len(word), 0.0)], []
+        heap, out, expanded, pushed = [(-best[len(word)], 0, len(word), 0.0, None)], [], [0] * (len(word) + 1), 0
         while heap and len(out) < n:
-            f, ids, end, done = heapq.heappop(heap)
+            f, _, end, done, path = heapq.heappop(heap)
             if end == 0:
-                out.append((-f, ids))
+                ids = []
+                while path:
+                    ids += path[0]
+                    path = path[1]
+                out.append((-f, tuple(ids)))
+                continue
+            if expanded[end] == n:
                 continue
+            expanded[end] += 1
             for start in range(max(0, end - self.longest), end):
                 got = self.edge(word[start:end])
                 if got is not None:
-                    score = done + got[0]
-                    heapq.heappush(heap, (-(best[start] + score), got[1] + ids, start, score))
+                    score, pushed = done + got[0], pushed + 1
+                    heapq.heappush(heap, (-(best[start] + score), pushed, start, score, (got[1], path)))
         return out
 
     def words(self, text: str) -> list[str]:
