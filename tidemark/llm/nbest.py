@@ -63,7 +63,7 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a piece spans a word's end; this vocabulary has no words to cut at")
-        self.memo = Memo()
+        self.memo, self.paths = Memo(), {}
 
     def edge(self, piece: str) -> tuple[float, tuple[int, ...]] | None:
         """Score and ids of the edge for piece, if there is one."""
@@ -131,6 +131,17 @@ class Pieces:
                     heapq.heappush(heap, (-(best[start] + score), pushed, start, score, (got[1], path)))
         return out
 
+    def alternatives(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """n_best, remembered for short words, within a bound."""
+        if len(word) > 40:
+            return self.n_best(word, n)
+        found = self.paths.get((word, n))
+        if found is None:
+            if len(self.paths) >= 50_000:
+                self.paths.clear()
+            found = self.paths[word, n] = self.n_best(word, n)
+        return found
+
     def words(self, text: str) -> list[str]:
         """The words of a text, each with its blanks in front."""
         if not text:
@@ -167,7 +178,7 @@ class Pieces:
         weak = heapq.nsmallest(n - 1, (i for i in range(len(got)) if got[i][1] < float("inf")), key=lambda i: (got[i][1], i))
         paths: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
         for i in weak:
-            options = [(g[0] - score, array("I", ids).tobytes()) for g in (got[i],) for score, ids in self.n_best(words[i], n)]
+            options = [(g[0] - score, array("I", ids).tobytes()) for g in (got[i],) for score, ids in self.alternatives(words[i], n)]
             paths = heapq.nsmallest(n, ((loss + more, changed | {i: ids}) for loss, changed in paths for more, ids in options), key=lambda p: p[0])
         out = []
         for loss, changed in paths:
