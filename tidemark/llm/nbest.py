@@ -59,6 +59,8 @@ class Pieces:
                 self.text[i] = piece.replace(BLANK, " ").encode()
         rank = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: (-sp.get_score(self.ids[p]), self.ids[p])))}
         self.edges = {p: (-log(2 + rank[p]), self.ids[p]) for p in self.ids}
+        #: Every ending of a piece: its edge where it is a piece itself, else None. What is missing ends no piece.
+        self.endings = {p[k:]: None for p in self.edges for k in range(len(p))} | self.edges
         self.byte_score = -log(2 + len(rank))
         self.longest = max(map(len, self.ids))
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
@@ -77,17 +79,20 @@ class Pieces:
 
     def forward(self, word: str) -> tuple[list[float], float, bytes]:
         """The best score at each position, the second best at the end, and the ids of the best path as 32-bit numbers."""
-        n, edges = len(word), self.edges
+        n, endings = len(word), self.endings
         best, second, back = [0.0] * (n + 1), [float("-inf")] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
             b = s = float("-inf")
             at = 0
             for start in range(end - 1, max(-1, end - self.longest - 1), -1):
-                got = edges.get(word[start:end])
-                if got is None:
-                    if start < end - 1:
+                got = endings.get(word[start:end], 0)
+                if not got:
+                    if start == end - 1:
+                        got = self.edge(word[start])
+                    elif got is None:
                         continue
-                    got = self.edge(word[start])
+                    else:
+                        break
                 v = best[start] + got[0]
                 if v > b:
                     s, b, at = b, v, start
