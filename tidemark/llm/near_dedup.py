@@ -7,9 +7,10 @@ sends each vertex to the child of its token there. Which positions a node choose
 vertices find their nodes by themselves and nodes of one vertex are dropped in the first shuffle. A node's vertices are held
 against its smallest one first, which joins a group of many near copies with few comparisons; nodes whose vertices are
 then in one component are done. Of the others, small ones are compared exhaustively, and large ones branch on. Nodes
-that are still large at the greatest depth are compared exhaustively as well: nothing is capped.
+that are still large at the greatest depth are compared exhaustively as well: nothing is capped. A comparison within
+a node takes two sizes and two sketches, one bit of each minwise token, so that a node of ``limit`` vertices is small.
 
-Pairs whose set sizes or minwise tokens rule them out (more than four standard deviations below the threshold) are
+Pairs whose set sizes, sketches or minwise tokens rule them out (more than four standard deviations below the threshold) are
 dropped; all others are confirmed on the full sets. A pair at the threshold survives one tree of depth 4 with
 probability 0.53, so 16 trees miss it with about 1 in 10,000, and more similar pairs more rarely.
 
@@ -26,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import attach_group, broadcast_if_small, discard, map_arrow, materialize
 
 WORDS, PERCENT = 5, 75
-POSITIONS, TREES, DEPTH, MOST_DEPTH, LIMIT = 128, 16, 4, 16, 16
+POSITIONS, TREES, DEPTH, MOST_DEPTH, LIMIT = 128, 16, 4, 16, 2048
 #: Vertices up to which their ids are broadcast to fetch their sets: 16 bytes each.
 FETCH_ROWS = 1_000_000
 _RNG = np.random.default_rng(5)
@@ -85,17 +86,20 @@ def branch(nodes: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.
 
 
 def shingle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, key, tokens): size of the set, what equal sets share, and its minwise tokens (null for empty sets)."""
+    """(doc_id, n, key, tokens, s0, s1): size of the set, what equal sets share, its minwise tokens and their lowest bits (null for empty sets)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            tokens = [minwise(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n", "key", "tokens"])
+            tokens = [minwise(s) if len(s) else None for s in sets]
+            bits = [(None, None) if t is None else np.packbits(t & 1).view(np.int64).tolist() for t in tokens]
+            sketches = [pa.array([b[k] for b in bits], pa.int64()) for k in range(2)]
+            tokens = pa.array([None if t is None else t.tobytes() for t in tokens], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), tokens, *sketches], ["doc_id", "n", "key", "tokens", "s0", "s1"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return map_arrow(rows, made, "doc_id long, n long, key binary, tokens binary")
+    return map_arrow(rows, made, "doc_id long, n long, key binary, tokens binary, s0 long, s1 long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,10 +127,25 @@ def grow(vertices: DataFrame, levels: int, trees: int = 0) -> DataFrame:
     return map_arrow(vertices, grown, "node long, vertex long")
 
 
+def sizes_fit(percent: int) -> Column:
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+
+def within(few: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b) in one node of (node, vertex, l), apart so far, that set sizes and sketches do not rule out."""
+    met = few.select("node", "vertex", "l").join(reps.select("vertex", "n", "s0", "s1"), "vertex")
+    left, right = (met.select("node", *(F.col(c).alias(f"{c}_{x}") for c in ("vertex", "l", "n", "s0", "s1"))) for x in "ab")
+    same = (1 + percent / 100) / 2  # of a bit, for a pair at the threshold
+    most = int(POSITIONS * (1 - same + 4 * (same * (1 - same) / POSITIONS) ** 0.5))
+    bits = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in ("s0", "s1"))
+    found = left.join(right, "node").where((F.col("vertex_a") < F.col("vertex_b")) & (F.col("l_a") != F.col("l_b")) & sizes_fit(percent) & (bits <= most))
+    return found.select(F.col("vertex_a").alias("a"), F.col("vertex_b").alias("b")).distinct()
+
+
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (a, b) that set sizes and minwise tokens do not rule out."""
     left, right = (reps.select(F.col("vertex").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
-    met = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "t_a", "t_b")
+    met = pairs.join(left, "a").join(right, "b").where(sizes_fit(percent)).select("a", "b", "t_a", "t_b")
     share = percent / 100
     need = POSITIONS * (share - 4 * (share * (1 - share) / POSITIONS) ** 0.5)
 
@@ -226,10 +245,8 @@ def links_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, perce
         torn = known.groupBy("node").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("node")
         rest = materialize(known.where("m > 2").join(torn, "node", "left_semi"), "near-open")
         few = rest.where(F.col("m") <= limit) if depth < MOST_DEPTH else rest
-        left, right = (few.select("node", F.col("vertex").alias(x), F.col("l").alias(f"l{x}")) for x in "ab")
-        pairs = left.join(right, "node").where("a < b and la <> lb").select("a", "b").distinct()
         if few.limit(1).count():
-            labels = take(labels, pairs)
+            labels = take(labels, within(few, reps, percent))
         large = rest.where(F.col("m") > limit)
         discard(members)
         if depth >= MOST_DEPTH or not large.limit(1).count():
@@ -243,7 +260,7 @@ def links_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, perce
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
     rows = materialize(shingle_rows(docs, id_col, text_col), "near-rows")
-    groups = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("vertex"), F.min_by("tokens", "doc_id").alias("tokens"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"))
+    groups = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("vertex"), F.min_by("tokens", "doc_id").alias("tokens"), *(F.first(c).alias(c) for c in ("n", "s0", "s1")), F.count(F.lit(1)).alias("size"))
     groups = materialize(groups, "near-groups")
     reps = groups.where("vertex is not null")
     labels = links_of(docs, reps, id_col, text_col, percent, trees, limit)
