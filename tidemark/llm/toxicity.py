@@ -7,8 +7,9 @@ other did not. For a spelling that neither class has, the shared probability can
 back-off weights is left, so a score needs one number for each spelling seen in a class and one for each context.
 
 Counting, the back-off recursion and the ratios are DataFrame aggregations and joins over distinct spellings, of any
-size. For scoring the ratios are folded into tables of 2**SLOTS numbers (spellings that share a slot are averaged by
-their counts), so that what is broadcast is bounded. A document's score is a logistic function, fitted on a bounded
+size. Scoring looks ratios up by the spelling itself. Up to KEYED_ROWS spellings of the labelled documents, checked by
+counting, they are broadcast with their ratios; beyond, the documents' distinct spellings meet all ratios in a join, and words
+and documents meet theirs in two more. A document's score is a logistic function, fitted on a bounded
 sample of labelled rows that the counts leave out, of its log-likelihood ratio per word, of the share of words
 that the ratio finds toxic, and of its most toxic word.
 
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, broadcast_if_small, discard, fold, map_arrow, materialize
+from ._common import Memo, attach_group, broadcast_if_small, discard, fold, map_arrow, materialize, small
 
-ORDER, DISCOUNT, SLOTS = 5, 0.75, 21
+ORDER, DISCOUNT, LIMIT = 5, 0.75, 6.0
 FOLDS, HELD, TUNE = 5, 0, 4
 #: Labelled rows that the logistic function is fitted on, at most; labels up to which they are broadcast.
 FIT_DOCS, LABEL_ROWS = 20_000, 1_000_000
+#: Spellings up to which their ratios are broadcast, 16 bytes each; they have no more contexts than that.
+KEYED_ROWS = 1_000_000
 #: Ratios from which a word counts as toxic, and so many features of a document.
 TOXIC_WORD = (5.0, 10.0, 15.0, 20.0)
 FEATURES = 2 + 2 * len(TOXIC_WORD)
@@ -100,39 +103,44 @@ def _class_p(n: str, total: str, kinds: str, p: str, discount: float) -> Column:
 
 
 def ratios(counts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """(key, ratio, n) for the spellings of the labelled documents and (key, ratio, n) for their contexts: log toxic over ordinary."""
+    """(key, ratio) for the spellings of the labelled documents and (key, ratio) for their contexts: log toxic over ordinary."""
     seen = counts.where("t + o > 0").withColumn("h", _context(F.col("key")))
     contexts = seen.groupBy("h").agg(F.sum("t").alias("tt"), F.sum("o").alias("oo"), F.count_if(F.col("t") > 0).alias("tk"), F.count_if(F.col("o") > 0).alias("ok"))
     shared = shared_probabilities(counts.select("key"), order - 1, discount).withColumnRenamed("key", "low")
     met = seen.join(contexts, "h").withColumn("low", _suffix(F.col("key"), order - 1)).join(shared, "low")
-    full = met.select("key", F.log(_class_p("t", "tt", "tk", "p", discount) / _class_p("o", "oo", "ok", "p", discount)).alias("ratio"), (F.col("t") + F.col("o")).alias("n"))
+    full = met.select("key", F.log(_class_p("t", "tt", "tk", "p", discount) / _class_p("o", "oo", "ok", "p", discount)).alias("ratio"))
     weight = lambda kinds, total: F.when(F.col(total) > 0, discount * F.col(kinds) / F.col(total)).otherwise(F.lit(1.0))
-    return full, contexts.select(F.col("h").alias("key"), F.log(weight("tk", "tt") / weight("ok", "oo")).alias("ratio"), (F.col("tt") + F.col("oo")).alias("n"))
+    return full, contexts.select(F.col("h").alias("key"), F.log(weight("tk", "tt") / weight("ok", "oo")).alias("ratio"))
 
 
-def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots)).astype(np.int64)
+def keyed(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of (key, ratio) in order, and their ratios. All rows come to the driver."""
+    got = ratios.select("key", "ratio").toPandas().sort_values("key")
+    return got["key"].to_numpy(np.int64), got["ratio"].to_numpy(np.float64)
 
 
-def slot_table(ratios: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """The ratios by slot; NaN where no spelling is. At most 2**slots rows come to the driver."""
+def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The ratio of each key; NaN for those that the table does not have."""
+    known, ratio = table
+    if not len(known):
+        return np.full(len(keys), np.nan)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, ratio[at], np.nan)
 
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = slot_of(batch.column("key").to_numpy(), slots)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), batch.column("ratio"), batch.column("n")], ["slot", "ratio", "n"])
 
-    rows = ratios.mapInArrow(slotted, "slot int, ratio double, n long")
-    got = rows.groupBy("slot").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).cast("float").alias("ratio")).toPandas()
-    out = np.full(1 << slots, np.nan, np.float32)
-    out[got["slot"].to_numpy()] = got["ratio"].to_numpy()
-    return out
+def words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def described(r: np.ndarray) -> tuple[float, ...]:
+    """The features of a text whose words have these ratios: ratio per word, shares of words by their ratio, ratio of the most toxic word (squashed)."""
+    return r.mean(), *((r > t).mean() for t in TOXIC_WORD), *((r > t).any() for t in TOXIC_WORD), np.clip(r.max(), 0, 40) / 10
 
 
 class Scorer:
-    """The tables, and the words met so far with their ratios."""
+    """The ratios by key, and the words met so far with their ratios."""
 
-    def __init__(self, full: np.ndarray, contexts: np.ndarray, order: int = ORDER):
+    def __init__(self, full: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], order: int = ORDER):
         self.full, self.contexts, self.order, self.memo = full, contexts, order, None
 
     def __getstate__(self) -> dict:
@@ -140,26 +148,83 @@ class Scorer:
 
     def word_ratios(self, words: list[str]) -> list[float]:
         keys, word = spellings(words, self.order)
-        slots = int(np.log2(len(self.full)))
-        r = self.full[slot_of(keys, slots)]
+        r = look_up(self.full, keys)
         miss = np.isnan(r)
-        r[miss] = np.nan_to_num(self.contexts[slot_of(keys[miss] >> 8, slots)])
-        return np.bincount(word, np.clip(r, -6, 6), len(words)).tolist()
+        r[miss] = np.nan_to_num(look_up(self.contexts, keys[miss] >> 8))
+        return np.bincount(word, np.clip(r, -LIMIT, LIMIT), len(words)).tolist()
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: ratio per word, shares of words by their ratio, ratio of the most toxic word (squashed)."""
+        """FEATURES numbers for each text; zeros where it has no words."""
         if self.memo is None:
             self.memo = Memo()
-        words = [(t or "").lower().split() for t in texts]
+        words = [words_of(t) for t in texts]
         known = self.memo.fill((w for ws in words for w in ws), self.word_ratios).__getitem__
         out = np.zeros((len(texts), FEATURES))
         for i, ws in enumerate(words):
             if ws:
-                r = np.fromiter(map(known, ws), float, len(ws))
-                out[i] = r.mean(), *((r > t).mean() for t in TOXIC_WORD), *((r > t).any() for t in TOXIC_WORD), np.clip(r.max(), 0, 40) / 10
+                out[i] = described(np.fromiter(map(known, ws), float, len(ws)))
         return out
 
 
+def measured(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """rows with their features, x, instead of their text, by broadcast ratios."""
+    others = [c for c in rows.columns if c != "text"]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = scorer.features(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(list(x), pa.list_(pa.float64()))], [*others, "x"])
+
+    return map_arrow(rows, made, "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in others) + "x array<double>")
+
+
+def joined_word_ratios(words: DataFrame, full: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(no, ratio) for (no, word): ratios met in joins, on distinct spellings and then on those of each word."""
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys, word = spellings(batch.column("word").to_pylist(), order)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("no").to_numpy()[word]), pa.array(keys)], ["no", "key"])
+
+    uses = materialize(map_arrow(words.select("no", "word"), spelled, "no long, key long"), "toxic-spellings")
+    keys = uses.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    keys = keys.join(full.select("key", F.col("ratio").alias("own")), "key", "left").withColumn("h", _context(F.col("key")))
+    keys = keys.join(contexts.select(F.col("key").alias("h"), F.col("ratio").alias("back")), "h", "left")
+    limited = F.greatest(F.least(F.coalesce("own", "back", F.lit(0.0)), F.lit(LIMIT)), F.lit(-LIMIT))
+    keys = materialize(keys.select("key", "uses", limited.alias("ratio")), "toxic-keys")
+    out = attach_group(uses, keys, "key", "uses", "no", uses.count()).groupBy("no").agg(F.sum("ratio").alias("ratio"))
+    out = materialize(out, "toxic-word-ratios")
+    discard(uses, keys)
+    return out
+
+
+def measured_by_joins(rows: DataFrame, full: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """rows with their features, x, instead of their text, whatever the number of ratios."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                counts = Counter(words_of(text))
+                if counts:
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(counts), pa.int64()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["_row", "word", "n"])
+
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "toxic-rows")  # ids may repeat or be null
+    held = materialize(map_arrow(rows.select("_row", "text"), counted, "_row long, word string, n long"), "toxic-bags")
+    words = materialize(held.groupBy("word").agg(F.count(F.lit(1)).alias("docs")).withColumn("no", F.monotonically_increasing_id()), "toxic-words")
+    ratios = joined_word_ratios(words, full, contexts, order)
+    groups = materialize(words.join(ratios, "no").select("word", "docs", "ratio"), "toxic-by-word")
+    met = attach_group(held, groups, "word", "docs", "_row", held.count())
+    total, r = F.sum("n"), F.col("ratio")
+    shares = [F.sum(F.when(r > t, F.col("n")).otherwise(0)) / total for t in TOXIC_WORD]
+    ever = [F.max((r > t).cast("double")) for t in TOXIC_WORD]
+    x = F.array(F.sum(r * F.col("n")) / total, *shares, *ever, F.greatest(F.least(F.max(r), F.lit(40.0)), F.lit(0.0)) / 10)
+    found = materialize(met.groupBy("_row").agg(x.alias("_x")), "toxic-features")
+    discard(held, words, ratios, groups)
+    none = F.array(*[F.lit(0.0)] * FEATURES)
+    return rows.drop("text").join(found, "_row", "left").withColumn("x", F.coalesce("_x", none)).drop("_row", "_x")
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, deviations and weights (the last one constant) of a logistic regression by Newton's method."""
     mean, std = x.mean(0), x.std(0) + 1e-6
@@ -171,25 +236,23 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return mean, std, w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", order: int = ORDER, slots: int = SLOTS, fit_docs: int = FIT_DOCS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", order: int = ORDER, fit_docs: int = FIT_DOCS, keyed_rows: int = KEYED_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of docs."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     usable = labels.where(F.col(label_col).isNotNull() & (fold(F.col(id_col), FOLDS) != HELD)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     tune = fold(F.col("doc_id"), FOLDS) == TUNE
     counts = materialize(spelling_counts(rows.join(broadcast_if_small(usable.where(~tune), LABEL_ROWS), "doc_id", "left").select("text", "label"), order), "toxic-counts")
-    full, contexts = ratios(counts, order)
-    scorer = Scorer(slot_table(full, slots), slot_table(contexts, slots), order)
+    full, contexts = (materialize(r, "toxic-ratios") for r in ratios(counts, order))
+    discard(counts)
+    if small(full, keyed_rows):
+        scorer = Scorer(keyed(full), keyed(contexts), order)
+        measure = lambda some: measured(some, scorer)
+    else:
+        measure = lambda some: measured_by_joins(some, full, contexts, order)
     some = usable.where(tune).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_docs)
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = scorer.features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
-
-    known = map_arrow(rows.join(F.broadcast(some), "doc_id").select("text", "label"), measured, "x array<double>, label int").collect()
+    known = measure(rows.join(F.broadcast(some), "doc_id").select("text", "label")).select("x", "label").collect()
     known = sorted((list(r["x"]), float(r["label"] > 0)) for r in known)
     x, y = np.array([k[0] for k in known]).reshape(-1, FEATURES), np.array([k[1] for k in known])
-    discard(counts)
     if 0 < y.sum() < len(y):
         mean, std, w = logistic(x, y)
     else:
@@ -198,9 +261,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = (scorer.features(batch.column("text").to_pylist()) - mean) / std
+            z = (np.array(batch.column("x").to_pylist(), float).reshape(-1, FEATURES) - mean) / std
             s = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype("int32"))], ["doc_id", "held_out", "score", "predicted"])
 
-    out = rows.withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD)
+    out = measure(rows.withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD))
     return map_arrow(out, scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
