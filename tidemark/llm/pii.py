@@ -9,8 +9,9 @@ Loopy belief propagation passes messages until they settle, base spans held fast
 probability of a kind is at least ``sure`` and skip edges tie it to an occurrence that a base span holds, so that an
 entity is labelled alike throughout its document and documents without base spans gain none. Base spans always stay.
 
-Potentials are trained on the base spans of a bounded sample (``fit_docs``, by hash of the text): the token weights by
-multinomial logistic regression, chain and skip potentials piecewise from counts of label pairs.
+Potentials are trained on the base spans of a bounded sample (``fit_docs``, by hash of the text, copies once; a text of
+more than PIECE characters is cut at blanks, and each piece is sampled as a text): the token weights by multinomial
+logistic regression, chain and skip potentials piecewise from counts of label pairs.
 
 Cases: a null or empty text has no spans. Copies get equal results; rows are handled one by one, repeated rows and
 ids too. Positions are code points, ends exclusive. Very long texts and runs without blanks take linear time. An
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from ._common import map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the potentials are fitted on, at most; the probability that a span needs.
-FIT_DOCS, SURE = 3_000, 0.95
+#: Distinct pieces of texts that the potentials are fitted on, at most, and characters of a piece; the probability that a span needs.
+FIT_DOCS, PIECE, SURE = 3_000, 20_000, 0.95
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: The contract's patterns; possessive, which changes no match here and keeps them linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -214,11 +215,20 @@ def find_spans(texts: list[str], weights: tuple[np.ndarray, np.ndarray, np.ndarr
     return [(b, sorted(b + added[i])) for i, b in enumerate(bases)]
 
 
-def fitted(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Potentials from at most ``fit_docs`` documents of up to 20,000 characters with a digit or an at sign."""
+def sample(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> list[str]:
+    """The at most ``fit_docs`` distinct pieces of texts with a digit or an at sign whose hashes are least. Only hashes are sorted; only these pieces come to the driver."""
     text = F.col(text_col)
-    sample = docs.where(text.rlike("[0-9@]") & (F.length(text) <= 20_000)).select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(fit_docs)
-    return fit([r["t"] for r in sample.collect()])
+    pieces = F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}(?:\s|\z)|.{{1,{PIECE}}}"), F.lit(0)))
+    rows = docs.select(F.explode(pieces).alias("t")).where(F.col("t").rlike("[0-9@]")).withColumn("h", F.xxhash64("t"))
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(fit_docs).collect()]
+    if not least:
+        return []
+    return [r["t"] for r in sorted(rows.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("t").alias("t")).collect())]
+
+
+def fitted(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Potentials from a sample of the texts."""
+    return fit(sample(docs, text_col, fit_docs))
 
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, sure: float = SURE) -> DataFrame:
