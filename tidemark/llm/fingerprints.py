@@ -1,6 +1,6 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and pieces of paragraphs.
 
-A line is a paragraph; a blank line ends a section; sentences, and parts of very long ones that end at words chosen by
+A line is a paragraph; a blank line ends a section; parts of sentences, of a few words each, that end at words chosen by
 their hash, are the leaves. Each node's digest is made of its children's, so equal roots mean equal texts, and where two
 roots differ the digests show which sections, paragraphs and pieces do. A fingerprint is the tree in a string:
 ``root/section:leaves.leaves/section:...``, 6 hexadecimal digits a leaf, a dot between paragraphs. The likeness of two
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ._common import map_arrow
 
 LEAF_DIGITS = 6
-#: Sentences of more characters are cut, at words that their hash chooses or after so many.
-LONG, LONGEST = 240, 480
+#: Sentences are cut at words that their hash chooses, one in so many, or after so many words or characters.
+CHOSEN, MOST_WORDS, LONGEST = 4, 6, 480
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 _WORD = re.compile(r"\S*\s*")
 
@@ -41,18 +41,16 @@ def leaves(paragraph: str) -> list[str]:
     """The pieces of a paragraph; together they are the paragraph."""
     out = []
     for piece in _SENTENCE.findall(paragraph):
-        if len(piece) <= LONG:
-            out.append(piece)
-            continue
-        start = at = 0
+        start = at = words = 0
         for word in _WORD.findall(piece):
             at += len(word)
+            words += 1
             while at - start > LONGEST:
                 out.append(piece[start : start + LONGEST])
                 start += LONGEST
-            if at > start and zlib.crc32(word.encode()) % 16 == 0:
+            if at > start and (words == MOST_WORDS or zlib.crc32(word.encode()) % CHOSEN == 0):
                 out.append(piece[start:at])
-                start = at
+                start, words = at, 0
         if start < len(piece):
             out.append(piece[start:])
     return out
