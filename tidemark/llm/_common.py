@@ -74,22 +74,25 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, total: int) -> DataFrame:
-    """rows LEFT JOIN groups on key, where a few keys may hold most of the rows.
+def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, total: int, how: str = "left") -> DataFrame:
+    """rows LEFT (or INNER) JOIN groups on key, where a few keys may hold most of the rows.
 
     ``groups`` has one row for each key with the number of its rows in ``size``. Keys with more than a
     ten-thousandth of ``total`` rows number at most 10,000, so they are broadcast; the rows of all other
-    keys meet their group in a shuffle in which no key is heavy. Rows of heavy keys take part in that
-    shuffle under a key of their own, made from ``spread``, and so are dealt evenly.
+    keys meet their group in a shuffle in which no key is heavy. Rows of heavy keys, and those without a key,
+    take part in that shuffle with a second part of the key, made from ``spread``, and so are dealt evenly.
     """
     heavy = max(1_000, total // 10_000)
     cols = [c for c in groups.columns if c != key]
-    hot = groups.where(F.col(size) > heavy).select(key, F.struct(*cols).alias("_hot"))
-    cold = groups.where(F.col(size) <= heavy).select(F.col(key).alias("_key"), F.struct(*cols).alias("_cold"))
-    met = rows.join(F.broadcast(hot), key, "left")
-    own = F.when(F.col("_hot").isNotNull(), F.concat(F.lit("~"), F.xxhash64(F.col(spread)).cast("string"))).otherwise(F.col(key).cast("string"))
-    met = met.withColumn("_own", own).join(cold.withColumn("_own", F.col("_key").cast("string")), "_own", "left")
+    hot = groups.where(F.col(size) > heavy).select(F.col(key).alias("_hot_key"), F.struct(*cols).alias("_hot"))
+    cold = groups.where(F.col(size) <= heavy).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_spread"), F.struct(*cols).alias("_cold"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    apart = F.col("_hot").isNotNull() | F.col(key).isNull()
+    met = met.withColumn("_spread", F.when(apart, F.xxhash64(F.col(spread))).otherwise(F.lit(0).cast("long")))
+    met = met.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_spread") == F.col("_cold_spread")), "left")
     got = F.coalesce(F.col("_hot"), F.col("_cold"))
+    if how == "inner":
+        met = met.where(got.isNotNull())
     return met.select(*[c for c in rows.columns], *[got[c].alias(c) for c in cols])
 
 

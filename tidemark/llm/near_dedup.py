@@ -4,15 +4,22 @@ Documents with equal sets of shingles are one vertex. A vertex carries ``POSITIO
 of ``trees`` independent trees starts with all vertices in its root; a node chooses one or two of the positions (4/3
 on average, the inverse of the similarity sought, which keeps a pair at the threshold alive from level to level) and
 sends each vertex to the child of its token there. Which positions a node chooses depends on its path alone, so
-vertices find their nodes by themselves and nodes of one vertex are dropped in the first shuffle. A node's vertices are held
-against its smallest one first, which joins a group of many near copies with few comparisons; nodes whose vertices are
-then in one component are done. Of the others, small ones are compared exhaustively, and large ones branch on. Nodes
-that are still large at the greatest depth are compared exhaustively as well: nothing is capped. A comparison within
-a node takes two sizes and two sketches, one bit of each minwise token, so that a node of ``limit`` vertices is small.
-
-Pairs whose set sizes, sketches or minwise tokens rule them out (more than four standard deviations below the threshold) are
+vertices find their nodes by themselves and nodes of one vertex are dropped in the first shuffle.
+
+Small nodes, of up to ``limit`` vertices, are compared exhaustively by a task that holds the node: set sizes and
+minwise tokens of all its vertices. What it gives out is linear: first each vertex's likeliest partner in another
+component, then some; those are confirmed on the full sets, which joins components, and nodes whose vertices are in one component are
+done. At last the vertices that still have likely partners in other components meet again with their full sets, all
+likely pairs are confirmed there, and a forest of links comes out. Sets too long to travel are confirmed pair by pair.
+Large nodes branch on until they are small or done; at each level their vertices are first dealt into random blocks
+of about half of ``limit``, each giving its likeliest partners in the block, so that a group of many near copies becomes one
+component in few turns, without a vertex that all others must meet. A vertex has partners only in its own blocks, so
+no key of these joins is heavy. Nothing is capped.
+
+Pairs whose set sizes or minwise tokens rule them out (more than four standard deviations below the threshold) are
 dropped; all others are confirmed on the full sets. A pair at the threshold survives one tree of depth 4 with
-probability 0.53, so 16 trees miss it with about 1 in 10,000, and more similar pairs more rarely.
+probability 0.53, so 16 trees miss it with about 5 in a million; of depth 8 with 0.37 (6 in 10,000), of depth 16 with
+0.23 (14 in 1,000); more similar pairs are missed more rarely. Only nodes that are still large and apart go deeper than 4.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing. With fewer words than
 a shingle the whole sequence is the one shingle. Rows that share an id act as one document with all their sets; rows
@@ -27,13 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import attach_group, broadcast_if_small, discard, map_arrow, materialize
 
 WORDS, PERCENT = 5, 75
-POSITIONS, TREES, DEPTH, MOST_DEPTH, LIMIT = 128, 16, 4, 16, 2048
+POSITIONS, TREES, DEPTH, LIMIT = 128, 16, 4, 1024
+#: Partners that a vertex of a small node has confirmed in each turn (below the first level in the first turn alone), before a node that is still apart is settled on its full sets.
+TURNS = (1, 8)
+#: Shingles of a set that travels to its nodes as it is (32 KB), and distinct shingles that a task holds as bits at once.
+WHOLE, STRETCH = 4096, 1 << 16
+#: Standard deviations below the threshold up to which tokens do not rule a pair out.
+DEVIATIONS = 4
+#: Children of a vertex at each level, on average.
+BRANCHES = 4 / 3
 #: Vertices up to which their ids are broadcast to fetch their sets: 16 bytes each.
 FETCH_ROWS = 1_000_000
 _RNG = np.random.default_rng(5)
@@ -86,20 +101,18 @@ def branch(nodes: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.
 
 
 def shingle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, key, tokens, s0, s1): size of the set, what equal sets share, its minwise tokens and their lowest bits (null for empty sets)."""
+    """(doc_id, n, key, tokens): size of the set, what equal sets share, and its minwise tokens (null for empty sets)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             tokens = [minwise(s) if len(s) else None for s in sets]
-            bits = [(None, None) if t is None else np.packbits(t & 1).view(np.int64).tolist() for t in tokens]
-            sketches = [pa.array([b[k] for b in bits], pa.int64()) for k in range(2)]
             tokens = pa.array([None if t is None else t.tobytes() for t in tokens], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), tokens, *sketches], ["doc_id", "n", "key", "tokens", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), tokens], ["doc_id", "n", "key", "tokens"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return map_arrow(rows, made, "doc_id long, n long, key binary, tokens binary, s0 long, s1 long")
+    return map_arrow(rows, made, "doc_id long, n long, key binary, tokens binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -127,35 +140,131 @@ def grow(vertices: DataFrame, levels: int, trees: int = 0) -> DataFrame:
     return map_arrow(vertices, grown, "node long, vertex long")
 
 
-def sizes_fit(percent: int) -> Column:
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-
-
-def within(few: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) in one node of (node, vertex, l), apart so far, that set sizes and sketches do not rule out."""
-    met = few.select("node", "vertex", "l").join(reps.select("vertex", "n", "s0", "s1"), "vertex")
-    left, right = (met.select("node", *(F.col(c).alias(f"{c}_{x}") for c in ("vertex", "l", "n", "s0", "s1"))) for x in "ab")
-    same = (1 + percent / 100) / 2  # of a bit, for a pair at the threshold
-    most = int(POSITIONS * (1 - same + 4 * (same * (1 - same) / POSITIONS) ** 0.5))
-    bits = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in ("s0", "s1"))
-    found = left.join(right, "node").where((F.col("vertex_a") < F.col("vertex_b")) & (F.col("l_a") != F.col("l_b")) & sizes_fit(percent) & (bits <= most))
-    return found.select(F.col("vertex_a").alias("a"), F.col("vertex_b").alias("b")).distinct()
-
-
-def plausible(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) that set sizes and minwise tokens do not rule out."""
-    left, right = (reps.select(F.col("vertex").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
-    met = pairs.join(left, "a").join(right, "b").where(sizes_fit(percent)).select("a", "b", "t_a", "t_b")
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches of rows sorted by block, dealt anew so that no block is cut in two. A block is small."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        block = table.column("block").to_numpy()
+        last = int(np.searchsorted(block, block[-1]))  # sorted by the same signed number
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None:
+        yield held
+
+
+def _likely(tokens: np.ndarray, label: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """For blocks (g, m) of vertices: how many minwise tokens each two share, -1 where they are in one component or sizes or tokens rule them out."""
     share = percent / 100
-    need = POSITIONS * (share - 4 * (share * (1 - share) / POSITIONS) ** 0.5)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                same = (_matrix(batch.column("t_a")) == _matrix(batch.column("t_b"))).sum(1) >= need
-                yield batch.select(["a", "b"]).filter(pa.array(same))
-
-    return map_arrow(met, close, "a long, b long").distinct()
+    need = POSITIONS * (share - DEVIATIONS * (share * (1 - share) / POSITIONS) ** 0.5)
+    same = np.stack([(tokens == tokens[:, j : j + 1]).sum(2, dtype=np.int16) for j in range(tokens.shape[1])], 1)
+    least, most = np.minimum(n[:, :, None], n[:, None, :]), np.maximum(n[:, :, None], n[:, None, :])
+    same[(label[:, :, None] == label[:, None, :]) | (least * 100 < most * percent) | (same < need)] = -1
+    return same
+
+
+def nearest(few: DataFrame, best: int, percent: int = PERCENT) -> DataFrame:
+    """(block, a, b, same): for each vertex of a block its likeliest partners in other components, as many as ``best``, or one where not ``every``.
+
+    few: (block, vertex, l, n, tokens, every). All vertices of a block are compared, by set sizes and minwise tokens.
+    """
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _nodes(batches):
+            block, vertex, label, n, every = (table.column(c).to_numpy() for c in ("block", "vertex", "l", "n", "every"))
+            tokens = _matrix(table.column("tokens"))
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(block)]]))
+            for m in np.unique(sizes[sizes > 1]).tolist():
+                of_size, step = starts[sizes == m], max(1, 8_000 // (m * m))
+                for at in range(0, len(of_size), step):
+                    rows = of_size[at : at + step, None] + np.arange(m)
+                    same = _likely(tokens[rows], label[rows], n[rows], percent)
+                    order = np.argsort(-same, axis=2, kind="stable")[:, :, :best]
+                    got = np.take_along_axis(same, order, 2)
+                    got[:, :, 1:][~every[rows]] = -1
+                    g, i, j = np.nonzero(got >= 0)
+                    if len(g):
+                        yield pa.RecordBatch.from_arrays([pa.array(block[rows[g, i]]), pa.array(vertex[rows[g, i]]), pa.array(vertex[rows[g, order[g, i, j]]]), pa.array(got[g, i, j].astype(np.int32))], ["block", "a", "b", "same"])
+
+    dealt = few.repartition("block").sortWithinPartitions("block", "vertex")
+    return map_arrow(dealt, compared, "block long, a long, b long, same int")
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[left] and sets[right], in stretches of the elements, as bits."""
+    lengths = np.array([len(s) for s in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    out = np.zeros(len(left), np.int64)
+    for lo in range(0, len(values), STRETCH):
+        width = min(STRETCH, len(values) - lo)
+        here = (at >= lo) & (at < lo + width)
+        has = np.zeros((len(sets), -(-width // 64) * 64), bool)
+        has[owner[here], at[here] - lo] = True
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        for k in range(0, len(left), 4096):
+            some = slice(k, k + 4096)
+            out[some] += np.bitwise_count(bits[left[some]] & bits[right[some]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _forest(edges: list[tuple[int, int]], labels: list[int]) -> list[tuple[int, int]]:
+    """The edges that join components, given by labels, or what edges before have joined."""
+    parent = {l: l for l in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in edges:
+        a, b = root(labels[i]), root(labels[j])
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def settled(few: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, sure): links that join the components of each block, confirmed on the full sets.
+
+    few: (block, vertex, l, n, tokens, shingles). Where a set is too long to travel, shingles is null; likely pairs with such a set come out not sure.
+    """
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _nodes(batches):
+            block, vertex, label, n = (table.column(c).to_numpy() for c in ("block", "vertex", "l", "n"))
+            tokens = _matrix(table.column("tokens"))
+            sets = table.column("shingles").combine_chunks()
+            whole = sets.is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
+            out = []
+            for lo, hi in zip(starts, [*starts[1:], len(block)]):
+                if label[lo:hi].min() == label[lo:hi].max():
+                    continue
+                i, j = np.nonzero(np.triu(_likely(tokens[None, lo:hi], label[None, lo:hi], n[None, lo:hi], percent)[0] >= 0))
+                known = whole[lo + i] & whole[lo + j]
+                out += [(vertex[lo + x], vertex[lo + y], False) for x, y in zip(i[~known], j[~known])]
+                i, j = i[known], j[known]
+                if not len(i):
+                    continue
+                used = np.unique(np.concatenate([i, j]))
+                both = shared_counts([np.asarray(sets[lo + int(x)].values) for x in used], np.searchsorted(used, i), np.searchsorted(used, j))
+                linked = both * 100 >= (n[lo + i] + n[lo + j] - both) * percent
+                edges = list(zip(i[linked].tolist(), j[linked].tolist()))
+                out += [(vertex[lo + x], vertex[lo + y], True) for x, y in _forest(edges, label[lo:hi].tolist())]
+            if out:
+                a, b, sure = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+
+    dealt = few.repartition("block").sortWithinPartitions("block", "vertex")
+    return map_arrow(dealt, compared, "a long, b long, sure boolean").distinct()
 
 
 def full_sets(docs: DataFrame, vertices: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,21 +288,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, l): for each vertex of the links (a, b) the smallest vertex it can reach. Takes the least label of the neighbours, then that label's label, until nothing changes."""
+    """(v, l): for each vertex of the links (a, b) the smallest vertex it can reach.
+
+    Takes the least label of the neighbours, then that label's label, until nothing changes. Vertices of many links and
+    labels of many vertices are heavy keys, and meet their rows by ``attach_group``.
+    """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    now = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("l")), "labels")
+    edges = both.count()
+    now = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).select("v", F.least("v", "m").alias("l"), "degree"), "labels")
     while True:
-        near = both.join(now, F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
-        step = now.join(near, F.col("v") == F.col("a")).select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = now.select(F.col("v").alias("l"), F.col("l").alias("far"))
-        new = materialize(step.join(jump, "l").select("v", "old", F.least("l", "far").alias("l")), "labels")
+        met = attach_group(both, now.select(F.col("v").alias("b"), "l", "degree"), "b", "degree", "a", edges)
+        near = met.groupBy("a").agg(F.min("l").alias("m"))
+        step = now.join(near, F.col("v") == F.col("a")).select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"), "degree")
+        step = materialize(step, "labels-step")
+        sizes = step.groupBy("l").agg(F.count(F.lit(1)).alias("size"))
+        jump = sizes.join(now.select(F.col("v").alias("l"), F.col("l").alias("far")), "l")
+        new = attach_group(step, jump, "l", "size", "v", edges).select("v", "old", F.least("l", F.coalesce("far", "l")).alias("l"), "degree")
+        new = materialize(new, "labels")
         changed = new.where("l <> old").limit(1).count()
-        discard(now)
-        now = new.select("v", "l")
+        discard(now, step)
+        now = new.select("v", "l", "degree")
         now._tidemark_path = new._tidemark_path
         if not changed:
             discard(both)
-            return now
+            out = now.select("v", "l")
+            out._tidemark_path = now._tidemark_path
+            return out
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -203,9 +323,13 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     end = lambda x: links.join(labels.select(F.col("v").alias(x), F.col("l").alias(f"l{x}")), x, "left").select("a", "b", F.coalesce(f"l{x}", x).alias(f"l{x}"))
     lifted = end("a").join(end("b"), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b")
     top = components(lifted)
-    known = labels.join(top.select(F.col("v").alias("l"), F.col("l").alias("far")), "l", "left").select("v", F.coalesce("far", "l").alias("l"))
+    sizes = labels.groupBy("l").agg(F.count(F.lit(1)).alias("size"))
+    far = sizes.join(top.select(F.col("v").alias("l"), F.col("l").alias("far")), "l")
+    known = attach_group(labels, far, "l", "size", "v", labels.count()).select("v", F.coalesce("far", "l").alias("l"))
     fresh = top.join(labels, "v", "left_anti").select("v", "l")
-    return materialize(known.unionByName(fresh), "labels")
+    out = materialize(known.unionByName(fresh), "labels")
+    discard(labels, top)
+    return out
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, col: str, out: str) -> DataFrame:
@@ -215,52 +339,80 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, col: str, out: str) ->
     return rows.join(found, col, "left").withColumn(out, F.coalesce("_l", col)).drop("_l")
 
 
-def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """(node, vertex, pivot, m) for nodes of several vertices."""
-    nodes = rows.groupBy("node").agg(F.min("vertex").alias("pivot"), F.max("vertex").alias("_max"), F.count(F.lit(1)).alias("m")).where("pivot <> _max").drop("_max")
-    return materialize(rows.join(nodes, "node"), name)
+def _shared(rows: DataFrame, total: int) -> DataFrame:
+    """(node, vertex, m) for nodes of several vertices, m being their number. total: rows, about."""
+    nodes = rows.groupBy("node").agg(F.min("vertex").alias("_min"), F.max("vertex").alias("_max"), F.count(F.lit(1)).alias("m")).where("_min <> _max").select("node", "m")
+    return materialize(attach_group(rows, nodes, "node", "m", "vertex", total, "inner"), "near-members")
+
+
+def _torn(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, vertex, m, l) for nodes whose vertices are not all in one component."""
+    known = materialize(_labelled(members.select("node", "vertex"), labels, "vertex", "l"), "near-known")
+    nodes = known.groupBy("node").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("node", "m")
+    out = materialize(attach_group(known, nodes, "node", "m", "vertex", known.count(), "inner"), "near-members")
+    discard(known, members)
+    return out
 
 
-def links_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT) -> DataFrame | None:
+def links_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT, whole: int = WHOLE) -> DataFrame | None:
     """Labels (v, l) of the vertices that have links; None if there are none."""
-    members = _shared(grow(reps.select("vertex", "tokens"), DEPTH, trees), "near-members")
-    wanted = members.select("vertex").distinct()
-    sets = materialize(full_sets(docs, wanted, id_col, text_col), "near-sets")
-    labels, depth = None, DEPTH
-
-    def take(labels: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
-        """labels after the pairs (a, b) have been looked at: first the least partner of each, then what those leave apart."""
-        pairs = materialize(plausible(pairs, reps, percent), "near-pairs")
-        for some in (pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), pairs):
-            apart = _labelled(_labelled(some, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-            links = materialize(confirmed(apart, sets, percent), "near-links")
-            if links.limit(1).count():
-                labels = merged(labels, links)
-        discard(pairs)
+    members = _shared(grow(reps.select("vertex", "tokens"), DEPTH, trees), int(reps.count() * trees * BRANCHES**DEPTH))
+    sets = materialize(full_sets(docs, members.select("vertex").distinct(), id_col, text_col), "near-sets")
+    labels, tested, level = None, None, 0
+
+    def confirm(labels: DataFrame | None, pairs: DataFrame, sure: DataFrame | None = None) -> DataFrame | None:
+        """labels after the pairs (a, b) that have not been tested yet are, and after those that are sure."""
+        nonlocal tested
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "near-pairs")
+        if sure is None and not pairs.limit(1).count():
+            discard(pairs)
+            return labels
+        links = confirmed(pairs, sets, percent)
+        links = materialize(links if sure is None else links.union(sure), "near-links")
+        if links.limit(1).count():
+            labels = merged(labels, links)
+        before, tested = tested, materialize(pairs if tested is None else tested.union(pairs), "near-tested")
+        discard(pairs, before, links)
         return labels
 
     while True:
-        labels = take(labels, members.where("vertex <> pivot").select(F.col("pivot").alias("a"), F.col("vertex").alias("b")).distinct())
-        known = _labelled(members.select("node", "vertex", "m"), labels, "vertex", "l")
-        torn = known.groupBy("node").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("node")
-        rest = materialize(known.where("m > 2").join(torn, "node", "left_semi"), "near-open")
-        few = rest.where(F.col("m") <= limit) if depth < MOST_DEPTH else rest
-        if few.limit(1).count():
-            labels = take(labels, within(few, reps, percent))
-        large = rest.where(F.col("m") > limit)
-        discard(members)
-        if depth >= MOST_DEPTH or not large.limit(1).count():
-            discard(rest)
+        found = None
+        for turn, best in enumerate(TURNS if not level else TURNS[:1]):
+            members = _torn(members, labels)
+            small = F.col("m") <= limit
+            block = F.when(small, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("vertex", F.lit(8 * level + turn)), F.ceil(F.col("m") * 2 / limit).cast("long"))))
+            few = members.select(block.alias("block"), "vertex", "l", small.alias("every")).join(reps.select("vertex", "n", "tokens"), "vertex")
+            discard(found)
+            found = materialize(nearest(few, best, percent), "near-found")
+            pairs = found.groupBy("a", "b").agg(F.first("same").alias("same"))
+            rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))
+            labels = confirm(labels, pairs.withColumn("rank", rank).where(F.col("rank") <= best).select("a", "b"))
+        members = _torn(members, labels)
+        likely = found.select(F.col("block").alias("node"), F.col("a").alias("vertex")).distinct()
+        left = members.where(F.col("m") <= limit).select("node", "vertex", "l").join(likely, ["node", "vertex"], "left_semi")
+        small_sets = sets.where(F.size("shingles") <= whole)
+        few = left.withColumnRenamed("node", "block").join(reps.select("vertex", "n", "tokens"), "vertex").join(small_sets, "vertex", "left")
+        got = materialize(settled(few, percent), "near-settled")
+        labels = confirm(labels, got.where("not sure").select("a", "b"), got.where("sure").select("a", "b"))
+        large = members.where(F.col("m") > limit)
+        count = large.count()
+        discard(found, got)
+        if not count:
+            discard(members, tested, sets)
             return labels
-        members = _shared(grow(large.select("node", "vertex").join(reps.select("vertex", "tokens"), "vertex"), 1), "near-members")
-        discard(rest)
-        depth += 1
+        below = grow(large.select("node", "vertex").join(reps.select("vertex", "tokens"), "vertex"), 1)
+        below = _shared(below, int(count * BRANCHES))
+        discard(members)
+        members, level = below, level + 1
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
     rows = materialize(shingle_rows(docs, id_col, text_col), "near-rows")
-    groups = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("vertex"), F.min_by("tokens", "doc_id").alias("tokens"), *(F.first(c).alias(c) for c in ("n", "s0", "s1")), F.count(F.lit(1)).alias("size"))
+    groups = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("vertex"), F.min_by("tokens", "doc_id").alias("tokens"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"))
     groups = materialize(groups, "near-groups")
     reps = groups.where("vertex is not null")
     labels = links_of(docs, reps, id_col, text_col, percent, trees, limit)
