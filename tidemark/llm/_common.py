@@ -119,24 +119,18 @@ class Memo:
         self.new[key] = value
 
     def fill(self, keys: Iterable, compute: Callable[[list], list]) -> dict:
-        """The values of keys, those not known computed all at once."""
+        """A dictionary that has the values of keys, those not known computed all at once, until the next call."""
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        out, missing = {}, []
-        for k in set(keys):
-            v = new.get(k)
-            if v is None:
-                v = old.get(k)
-                if v is None:
-                    missing.append(k)
-                    continue
-                self.put(k, v)
-                new, old = self.new, self.old
-            out[k] = v
+        missing = set(keys).difference(new)
+        if old:
+            new.update([(k, old[k]) for k in missing if k in old])
+            missing.difference_update(new)
         if missing:
-            for k, v in zip(missing, compute(missing), strict=True):
-                out[k] = v
-                self.put(k, v)
-        return out
+            rest = list(missing)
+            new.update(zip(rest, compute(rest), strict=True))
+        return new
 
 
 def fold(key: Column, modulus: int) -> Column:

@@ -36,10 +36,13 @@ VOCABULARY = "byte_bpe_50k.json"
 CAPACITY, END_ID = 2048, 0
 #: Pieces in a partition, about, and rounds of repacking at most.
 PART_PIECES, ROUNDS = 20_000, 6
+#: Words that a worker remembers, and again as many of the generation before; words encoded at a time.
+REMEMBERED, LINES = 500_000, 256
 
 _LOADED: dict[str, tuple] = {}
 _DOUBLE = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
+_PLAIN = re.compile(r" ?\S+").fullmatch
 
 
 def _tokenizer(path: str):
@@ -50,7 +53,7 @@ def _tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _LOADED[path] = t, Memo()
+        _LOADED[path] = t, Memo(REMEMBERED)
     return _LOADED[path]
 
 
@@ -68,15 +71,27 @@ def little_endian(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+def encode_words(words: list[str], tokenizer) -> list[bytes]:
+    """The ids of each word. Words without inner white space are encoded many at a time, each on a line: a line's end between them is a pre-token of its own."""
+    mark = tokenizer.encode("\n", add_special_tokens=False).ids
+    plain = [w for w in words if _PLAIN(w)] if len(mark) == 1 else []
+    chunks = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
+    out = {}
+    for chunk, e in zip(chunks, tokenizer.encode_batch_fast(["\n".join(c) for c in chunks], add_special_tokens=False), strict=True):
+        ids = little_endian(e.ids)
+        ends = (np.flatnonzero(np.frombuffer(ids, "<u4") == mark[0]) * 4).tolist() + [len(ids)]
+        if len(ends) == len(chunk):
+            out.update(zip(chunk, (ids[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends))))
+    rest = [w for w in words if w not in out]
+    out.update(zip(rest, (little_endian(e.ids) for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+    return [out[w] for w in words]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, from the tokenizer at path."""
     tokenizer, memo = _tokenizer(path)
     cut = [words(t) for t in texts]
-
-    def compute(missing: list[str]) -> list[bytes]:
-        return [little_endian(e.ids) for e in tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-
-    known = memo.fill(chain.from_iterable(cut), compute).__getitem__
+    known = memo.fill(chain.from_iterable(cut), lambda missing: encode_words(missing, tokenizer)).__getitem__
     return [b"".join(map(known, ws)) for ws in cut]
 
 
