@@ -132,6 +132,17 @@ class Memo:
             new.update(zip(rest, compute(rest), strict=True))
         return new
 
+    def values(self, keys: list, compute: Callable[[list], list]) -> list:
+        """The value of each key, those not known computed all at once."""
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        got = list(map(self.new.get, keys))
+        missing = [k for k, v in zip(keys, got) if v is None]
+        if missing:
+            new = self.fill(missing, compute)
+            got = [new[k] if v is None else v for k, v in zip(keys, got)]
+        return got
+
 
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo: the fixed folds of the labelled rows. A null key counts as empty text."""

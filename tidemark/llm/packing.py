@@ -21,11 +21,11 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +57,9 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
-def words(text: str) -> list[str]:
-    """text, cut before each blank that has no white space beside it. This tokenizer's pre-tokens take at most one blank, in front, so all its pre-tokens end at such a cut."""
-    if not text or text[0].isspace() or text[-1].isspace() or "\x00" in text or _DOUBLE.search(text):
-        return _CUTS.split(text)
-    return text.replace(" ", "\x00 ").split("\x00")
+def plain(text: str) -> bool:
+    """Whether the text has no white space beside a blank, nor at its ends."""
+    return bool(text) and not text[0].isspace() and not text[-1].isspace() and not _DOUBLE.search(text)
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -87,29 +85,50 @@ def encode_words(words: list[str], tokenizer) -> list[bytes]:
     return [out[w] for w in words]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers, from the tokenizer at path."""
-    tokenizer, memo = _tokenizer(path)
-    cut = [words(t) for t in texts]
-    known = memo.fill(chain.from_iterable(cut), lambda missing: encode_words(missing, tokenizer)).__getitem__
-    return [b"".join(map(known, ws)) for ws in cut]
-
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of each text as unsigned 32-bit numbers, from the tokenizer at path.
 
-def cut_pieces(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
+    Texts are cut before each blank that has no white space beside it. This tokenizer's pre-tokens take at most one blank,
+    in front, so all its pre-tokens end at such a cut. Words are told apart in columns, each distinct one is looked up or encoded once, and the ids are gathered.
+    """
+    tokenizer, memo = _tokenizer(path)
+    easy = [i for i, t in enumerate(texts) if plain(t)]
+    parts = pc.split_pattern(pa.array([texts[i] for i in easy], pa.large_string()), " ")
+    at, found = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+    word = found.indices.to_numpy().astype(np.int64)
+    keys = [" " + w for w in found.dictionary.to_pylist()]
+    word[at[:-1]] = len(keys) + np.arange(len(easy))  # a text's first word has no blank in front
+    keys += [t[: t.find(" ")] if " " in t else t for t in map(texts.__getitem__, easy)]
+    other = {i: _CUTS.split(texts[i]) for i in sorted(set(range(len(texts))).difference(easy))}
+    word = np.concatenate([word, np.arange(len(keys), len(keys) + sum(map(len, other.values())))])
+    for ws in other.values():
+        keys += ws
+    ids = memo.values(keys, lambda missing: encode_words(missing, tokenizer))
+    flat, lengths = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    starts, n = np.cumsum(lengths) - lengths, lengths[word]
+    ends = np.cumsum(n)
+    flat = flat[np.repeat(starts[word] - (ends - n), n) + np.arange(int(n.sum()))]
+    words = np.concatenate([np.diff(at), [len(ws) for ws in other.values()]]).astype(np.int64)
+    stops = np.concatenate([[0], ends])[np.cumsum(words)]
+    out = dict(zip([*easy, *other], np.split(flat, stops[:-1]))) if len(words) else {}
+    return [out[i] for i in range(len(texts))]
+
+
+def cut_pieces(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids; only the first piece may be shorter than capacity."""
-    n = len(ids) // 4
+    n = len(ids)
     first = n % capacity or min(n, capacity)
     stops = list(range(first, n + 1, capacity))
-    return [(k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip([0, *stops], stops))]
+    return [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip([0, *stops], stops))]
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary_path(vocabulary)
         for batch in batches:
-            got = [cut_pieces(ids + end, capacity) for ids in encode([t or "" for t in batch.column("text").to_pylist()], path)]
+            got = [cut_pieces(np.concatenate([ids, end]), capacity) for ids in encode([t or "" for t in batch.column("text").to_pylist()], path)]
             at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
             k, start, length, crc = (list(x) for x in zip(*(p for g in got for p in g))) if got else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
