@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; each row is at most a few dozen bytes.
 BROADCAST_ROWS = 200_000
-#: Rows handed to Python at once: bounds a worker's memory where texts are long.
+#: Rows that an operator handles at once: bounds a worker's memory. Bytes of a batch are bounded by Spark's arrow.maxBytesPerBatch.
 ARROW_ROWS = 1_000
 
 
@@ -20,13 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in small batches, unless the session asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
 _OWN: dict[str, str] = {}
 
 
@@ -96,9 +90,28 @@ def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, spread
     return met.select(*[c for c in rows.columns], *[got[c].alias(c) for c in cols])
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    bounded_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+def release() -> None:
+    """Give back to the system what a task of this Python worker has freed: workers live on, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
+    """df.mapInArrow, with batches of at most so many rows handed to f."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(sliced(batches))
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 class Memo:

@@ -44,7 +44,7 @@ POSITIONS, TREES, DEPTH, LIMIT = 128, 16, 4, 1024
 #: Partners that a vertex of a small node has confirmed in each turn (below the first level in the first turn alone), before a node that is still apart is settled on its full sets.
 TURNS = (1, 8)
 #: Shingles of a set that travels to its nodes as it is (32 KB), and distinct shingles that a task holds as bits at once.
-WHOLE, STRETCH = 4096, 1 << 16
+WHOLE, STRETCH = 4096, 1 << 14
 #: Standard deviations below the threshold up to which tokens do not rule a pair out.
 DEVIATIONS = 4
 #: Children of a vertex at each level, on average.

@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import attach_group, fresh_path, materialize
+from ._common import attach_group, fresh_path, map_arrow, materialize
 
 #: Bytes of a chunk, of an archive (about), and the least payload that a revisit can stand for.
 CHUNK, ARCHIVE, LEAST = 1 << 20, 256 << 20, 0
+#: Tasks that read archives, at most; beyond, a task reads several.
+READ_TASKS = 100_000
 RECORD_SPACE = uuid.UUID("7d3a2c52-4c1e-5a58-9a3e-2f6b8c7d1e00")
 
 
@@ -159,11 +161,7 @@ def write_archives(chunks: DataFrame, folder: str, archive: int = ARCHIVE, least
             path, size, records = zip(*writer.made)
             yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(size, pa.int64()), pa.array(records, pa.int64())], ["path", "bytes", "records"])
 
-    spark = chunks.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 64 or int(spark.conf.get(key)) <= 0:  # rows are up to a chunk long
-        spark.conf.set(key, "64")
-    manifest = chunks.mapInArrow(write, "path string, bytes long, records long")
+    manifest = map_arrow(chunks, write, "path string, bytes long, records long", 64)
     return materialize(manifest, "warc-manifest")
 
 
@@ -246,8 +244,8 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, data: bool = True) ->
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
-    files = manifest.repartition("path")
-    return files.mapInArrow(read, "page_id long, chunk_no long, data binary, bytes_so_far long, sha1_so_far string, last boolean, record_type string, refers_to long, digest string, payload_bytes long")
+    files = manifest.repartition(max(1, min(manifest.count(), READ_TASKS)))  # by turns, a task for each archive: a number of its own, so that adaptive execution does not fold them
+    return map_arrow(files, read, "page_id long, chunk_no long, data binary, bytes_so_far long, sha1_so_far string, last boolean, record_type string, refers_to long, digest string, payload_bytes long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", text_col: str = "html", chunk: int = CHUNK, least: int = LEAST, archive: int = ARCHIVE) -> DataFrame:
