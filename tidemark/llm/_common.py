@@ -74,15 +74,16 @@ def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, spread
     ``groups`` has one row for each key with the number of its rows in ``size``. Keys with more than a
     ten-thousandth of ``total`` rows number at most 10,000, so they are broadcast; the rows of all other
     keys meet their group in a shuffle in which no key is heavy. Rows of heavy keys, and those without a key,
-    take part in that shuffle with a second part of the key, made from ``spread``, and so are dealt evenly.
+    take part in that shuffle with a second part of the key, made from ``spread``, and so are dealt evenly. (The second
+    part of other keys is a hash of the key: were it a constant, the optimizer would shuffle by the first part alone.)
     """
     heavy = max(1_000, total // 10_000)
     cols = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) > heavy).select(F.col(key).alias("_hot_key"), F.struct(*cols).alias("_hot"))
-    cold = groups.where(F.col(size) <= heavy).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_spread"), F.struct(*cols).alias("_cold"))
+    cold = groups.where(F.col(size) <= heavy).select(F.col(key).alias("_cold_key"), F.xxhash64(F.col(key)).alias("_cold_spread"), F.struct(*cols).alias("_cold"))
     met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     apart = F.col("_hot").isNotNull() | F.col(key).isNull()
-    met = met.withColumn("_spread", F.when(apart, F.xxhash64(F.col(spread))).otherwise(F.lit(0).cast("long")))
+    met = met.withColumn("_spread", F.when(apart, F.xxhash64(F.col(spread), F.lit(1))).otherwise(F.xxhash64(F.col(key))))
     met = met.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_spread") == F.col("_cold_spread")), "left")
     got = F.coalesce(F.col("_hot"), F.col("_cold"))
     if how == "inner":
