@@ -117,18 +117,53 @@ def all_paths(p, word):
     return out
 
 
+def vocabulary(seed=1):
+    """The vocabulary with random log-probabilities."""
+    path = token_counts.vocabulary_path(nbest.VOCABULARY)
+    n = nbest.library(path).vocab_size()
+    return nbest.Pieces(path, np.log(np.random.default_rng(seed).dirichlet(np.ones(n))))
+
+
 def test_best_paths_against_all_paths():
-    p = nbest.pieces(token_counts.vocabulary_path(nbest.VOCABULARY))
-    for text in ("hello", "a bc", "the cat", "naïve", "日本", "x  y", "▁"):
-        words = p.words(text)
-        got = [s for s, _ in p.segment(words, p.known(words), 4)]
-        want = sorted((s for s, _ in all_paths(p, "".join(words))), reverse=True)[:4]
-        assert np.allclose(got, want)
+    p = vocabulary()
+    rng = np.random.default_rng(2)
+    some = ["".join(rng.choice(list("theinrsao."), 9)) for _ in range(30)]
+    for text in ("hello", "a bc", "the cat", "naïve", "日本", "x  y", "▁", "a\nb", " lead", "\U0010ffff a", *some):
+        got = [s for s, _ in p.paths_of([text], 4)[0]]
+        want = sorted((s for s, _ in all_paths(p, " " + text)), reverse=True)[:4]
+        assert np.allclose(got, want), text
+        assert all(p.decode(ids) == text for _, ids in p.paths_of([text], 4)[0])
+
+
+def test_columns_give_what_one_word_gives():
+    p = vocabulary(3)
+    rng = np.random.default_rng(4)
+    words = [" " + "".join(rng.choice(list("abcdeéßñ日\n.T\U0001f600▁"), n)) for n in rng.integers(1, 60, 400)]
+    for word, (score, loss, ids) in zip(words, p.forward_all(words), strict=True):
+        best, second, one = p.forward(word)
+        assert np.isclose(score, best[-1]) and np.isclose(loss, best[-1] - second) and ids == one
+
+
+def test_scores_count_all_documents(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat", "the  dog\n", None, "", "the"])], "doc_id long, text string")
+    scores = nbest.piece_scores(docs)
+    sp = nbest.library(token_counts.vocabulary_path(nbest.VOCABULARY))
+    counts = np.full(sp.vocab_size(), 0.5)
+    for w in ("the", "cat", "the", "", "dog\n", "the"):
+        np.add.at(counts, sp.encode(w), 1)
+    assert np.allclose(scores, np.log(counts / counts.sum()))
 
 
 def test_best_paths_decode(spark):
-    got = rows(spark, "op7_nbest")
-    assert all(r.decoded and list(r.scores) == sorted(r.scores, reverse=True) for r in got)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = nbest.n_best(docs)
+    got = {r.doc_id: r for r in found.collect()}
+    assert all(r.decoded and list(r.scores) == sorted(r.scores, reverse=True) and len({tuple(x) for x in r.ids}) == len(r.ids) for r in got.values())
+    first = found.selectExpr("doc_id", "ids[0] AS ids")
+    assert {r.doc_id: r.text for r in nbest.decode(first).collect()} == texts()
+    sp = nbest.library(token_counts.vocabulary_path(nbest.VOCABULARY))
+    ours, theirs = ([len(x) for x in xs] for xs in ([r.ids[0] for r in got.values()], sp.encode([texts()[i] for i in got])))
+    assert sum(ours) <= 1.03 * sum(theirs)  # as few pieces as the library's, about
 
 
 def auc(scores, truth):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, nbest, near_dedup, packing, pii, quality, token_counts, toxicity, warc
 from ._common import table
@@ -35,7 +36,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nbest.n_best(table(spark, sf_dir, "documents"))
+    found = nbest.n_best(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size(found["ids"][0]).cast("long").alias("n_pieces"), F.size("ids").alias("paths"), "scores", F.transform("ids", lambda x: F.xxhash64(x)).alias("ids_xxhash64"), "decoded")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
