@@ -76,6 +76,9 @@ class Pieces:
         self.longest = max(map(len, self.edges))
         if any(" " in p.lstrip(" ") for p in self.edges):
             raise ValueError("a piece spans a word's end; this vocabulary has no words to cut at")
+        text = [self.text.get(i, b"") for i in range(sp.vocab_size())]
+        self.pool, self.size = np.frombuffer(b"".join(text), np.uint8), np.array(list(map(len, text)))
+        self.first = np.cumsum(self.size) - self.size
         self.memo, self.paths = Memo(), {}
         self._trie()
 
@@ -284,8 +287,17 @@ class Pieces:
             out[i] = self.segment(ws, self.memo.values(ws, self.forward_all), n)
         return out
 
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for, gathered from those of all pieces."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.first[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
     def decode(self, ids) -> str:
-        return b"".join(map(self.text.__getitem__, np.asarray(ids).tolist())).decode()[1:]
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (self.size[ids] == 0).any():
+            raise ValueError("an id stands for no text")
+        return self.spelled(ids).decode()[1:]
 
 
 def words_of(text: str) -> list[str]:
@@ -338,7 +350,8 @@ def n_best(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             got = p.paths_of(texts, n)
-            same = [all(p.decode(ids) == t for _, ids in g) if t else not len(g[0][1]) for g, t in zip(got, texts, strict=True)]
+            wanted = [f" {t}".encode() if t else b"" for t in texts]
+            same = [all(p.spelled(ids) == t for _, ids in g) for g, t in zip(got, wanted, strict=True)]
             flat = [ids.astype(np.int32) for g in got for _, ids in g]
             inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *flat])))
             outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), inner)
