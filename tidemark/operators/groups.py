@@ -42,7 +42,7 @@ def round_robin_assign(members: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def sticky_assign(members: DataFrame, topics: DataFrame, current: DataFrame, imbalance: int = 1) -> DataFrame:
-    """Members keep what they have and may have, down to the fair share plus ``imbalance``; the rest goes to the least loaded.
+    """Members keep what they have and may have, in order of topic and partition, down to the fair share rounded up plus ``imbalance``; the rest goes to the least loaded.
 
     Greedy, so each group is one call; a group's metadata, not its messages, goes there.
     """
@@ -58,7 +58,7 @@ def sticky_assign(members: DataFrame, topics: DataFrame, current: DataFrame, imb
         free = []
         for t, p, m in zip(parts.topic, parts.partition, parts.member_id):
             (mine[m] if m in mine else free).append((t, p))
-        share = len(parts) // len(alive) if alive else 0
+        share = -(-len(parts) // len(alive)) if alive else 0
         for m in alive:
             while len(mine[m]) > share + imbalance:
                 free.append(mine[m].pop())

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import numbered
+
 ID = ["topic", "partition", "offset"]
 PART = ["topic", "partition"]
 CONTROL, COMMIT = 8, 16
@@ -164,11 +166,20 @@ def replica_append(log: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def segments(log: DataFrame, size: Column, most: int) -> DataFrame:
-    """The segment of each message: one begins when the bytes before it fill another ``most``."""
-    before = F.sum(size).over(W.partitionBy(*PART).orderBy("offset").rowsBetween(W.unboundedPreceding, -1))
-    number = F.floor(F.coalesce(before, F.lit(0)) / most).cast("long")
-    rows = log.withColumn("segment", number)
-    return rows.withColumn("base_offset", F.min("offset").over(W.partitionBy(*PART, "segment")))
+    """The segment of each message and the offset it begins at: a message that would take its segment beyond ``most`` bytes begins another, whose bytes count from 0. A larger message has one of its own."""
+
+    def rollover():
+        position = 0
+
+        def begins(n: int) -> bool:
+            nonlocal position
+            full = position + n > most
+            position = n if full else position + n
+            return full
+
+        return begins
+
+    return numbered(log.withColumn("_size", size.cast("long")), rollover, ["_size"], "segment", "base_offset").drop("_size")
 
 
 def truncate_after(log: DataFrame, offset: int) -> DataFrame:

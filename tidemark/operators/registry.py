@@ -26,16 +26,18 @@ def with_schema(rows: DataFrame, schemas: DataFrame, subject: Column) -> DataFra
 def compatible(old: Column, new: Column) -> Column:
     """(backward, forward, full) for the top level of two JSON schemas.
 
-    Backward: what the new one requires the old one had, and properties that both have keep their type. Forward: what the old
-    one requires the new one has, and so for types.
+    Backward: what the new one requires the old one required or had as a property, and properties that both have keep their
+    type, if both have one. Forward: what the old one requires the new one requires or has; types do not matter. Full: both.
     """
     a, b = F.from_json(old, PROPERTIES), F.from_json(new, PROPERTIES)
     props = lambda s: F.coalesce(s["properties"], F.from_json(F.lit("{}"), "map<string,struct<type:string>>"))
     need = lambda s: F.coalesce(s["required"], F.array().cast("array<string>"))
     shared = F.array_intersect(F.map_keys(props(a)), F.map_keys(props(b)))
-    same = F.forall(shared, lambda k: F.coalesce(props(a)[k]["type"], F.lit("")) == F.coalesce(props(b)[k]["type"], F.lit("")))
-    backward = same & F.forall(need(b), lambda k: F.array_contains(F.map_keys(props(a)), k))
-    forward = same & F.forall(need(a), lambda k: F.array_contains(F.map_keys(props(b)), k))
+    type_ = lambda s, k: F.coalesce(props(s)[k]["type"], F.lit(""))
+    same = F.forall(shared, lambda k: (type_(a, k) == type_(b, k)) | (type_(a, k) == "") | (type_(b, k) == ""))
+    known = lambda s, k: F.array_contains(F.map_keys(props(s)), k) | F.array_contains(need(s), k)
+    backward = same & F.forall(need(b), lambda k: known(a, k))
+    forward = F.forall(need(a), lambda k: known(b, k))
     return F.struct(backward.alias("backward"), forward.alias("forward"), (backward & forward).alias("full"))
 
 
@@ -110,9 +112,10 @@ class Registry:
 
 def compatible_documents(old: dict, new: dict, mode: str) -> bool:
     a, b = old.get("properties") or {}, new.get("properties") or {}
-    same = all((a[k] or {}).get("type") == (b[k] or {}).get("type") for k in a.keys() & b.keys())
-    backward = same and set(new.get("required") or ()) <= a.keys()
-    forward = same and set(old.get("required") or ()) <= b.keys()
+    types = [((a[k] or {}).get("type"), (b[k] or {}).get("type")) for k in a.keys() & b.keys()]
+    before, after = set(old.get("required") or ()), set(new.get("required") or ())
+    backward = after <= before | a.keys() and all(x == y or not x or not y for x, y in types)
+    forward = before <= after | b.keys()
     return {"NONE": True, "BACKWARD": backward, "FORWARD": forward, "FULL": backward and forward}[mode]
 
 

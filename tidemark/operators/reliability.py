@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_ms, dlq_topic
+from .folds import numbered
 from .reads import ID, PART
 
 DLQ_SCHEMA = "original_topic string, original_partition int, original_offset long, key string, value string, reason string, deliveries int"
@@ -104,13 +105,22 @@ def next_markers(records: DataFrame, markers: DataFrame) -> DataFrame:
     return a.unionByName(b).withColumn("_m", ahead).where("marker is null").select(*keys, "offset", F.col("_m.marker").alias("marker_offset"), F.coalesce("_m.kind", F.lit("open")).alias("status"))
 
 
-def producer_batches(log: DataFrame, size: Column, count: int, most_bytes: int, linger: str) -> DataFrame:
-    """The batch of each message: closed by count, by bytes, or when a message comes more than ``linger`` after its predecessor."""
-    w = W.partitionBy(*PART).orderBy("offset")
-    fresh = F.coalesce((F.col("ts") - F.lag("ts").over(w)) > F.expr(f"interval {linger}"), F.lit(True))
-    rows = log.withColumn("_run", F.sum(fresh.cast("int")).over(w))
-    inner = W.partitionBy(*PART, "_run").orderBy("offset")
-    n = F.row_number().over(inner) - 1
-    b = F.coalesce(F.sum(size).over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_n", F.floor(n / count)).withColumn("_b", F.floor(b / most_bytes))
-    return rows.groupBy(*PART, "_run", "_n", "_b").agg(F.count(F.lit(1)).alias("messages"), F.sum(size).alias("bytes"), F.min("offset").alias("first_offset")).drop("_run", "_n", "_b")
+def producer_batches(log: DataFrame, size: Column, count: int, most_bytes: int, linger_s: float) -> DataFrame:
+    """The batches of each partition. A batch is sent once it has ``count`` messages or ``most_bytes`` bytes of keys and values, or once its first message is ``linger_s`` seconds old; the next message begins another, and counts begin anew. Without linger each message is a batch."""
+
+    def flush():
+        n, total, made = 0, 0, 0.0
+
+        def begins(size: int, at: float) -> bool:
+            nonlocal n, total, made
+            new = n >= count or total >= most_bytes or at - made >= linger_s
+            if new or not n:
+                n, total, made = 0, 0, at
+            n, total = n + 1, total + size
+            return new
+
+        return begins
+
+    rows = log.select(*PART, "offset", size.cast("long").alias("size"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withColumn("at", F.col("at") / 1e6)
+    rows = numbered(rows, flush, ["size", "at"], "batch")
+    return rows.groupBy(*PART, "batch").agg(F.count(F.lit(1)).alias("messages"), F.sum("size").alias("bytes"), F.min("offset").alias("first_offset")).drop("batch")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: What each role may do without any rule; fixed values of the data model.
@@ -80,44 +81,49 @@ def token_bucket(requests: DataFrame, rate: float, capacity: float, keys: tuple[
     return requests.repartition(*keys).sortWithinPartitions(*keys, "at_s", "seq").mapInPandas(limit, f"{fields}, allowed boolean, tokens double, wait_s double")
 
 
-def drain(log: DataFrame, weights: tuple[int, ...] = (50, 25, 15, 7, 3), starving_ms: int | None = None, step_ms: int = 1, keys: tuple[str, ...] = ("topic", "partition")) -> DataFrame:
-    """Service order of a whole drain by deficit round-robin with real weights; ``turn`` numbers it within each partition.
+def drain(log: DataFrame, weights: tuple[int, ...] = (50, 25, 15, 7, 3), keys: tuple[str, ...] = ("topic", "partition")) -> DataFrame:
+    """Service order of a whole drain by deficit round-robin; ``turn`` numbers it within each partition.
 
-    With ``starving_ms``, a lane whose head has waited so long on a clock that moves ``step_ms`` a message is served first,
-    from the least urgent lane up. Order depends on what came before, so each partition is one call.
+    A visit adds a lane's weight to its deficit, serves one message if the deficit is positive, and goes on to the next
+    lane. As weights are 1 at least, each visit of a lane that has messages serves one, whatever the weights: the order is that of
+    place within the lane, then of lane, which two windows give.
+    """
+    if min(weights) < 1:
+        raise ValueError("a lane of weight below 1 is never served")
+    lane = W.partitionBy(*keys, "priority").orderBy("offset")
+    rows = log.select(*keys, "offset", "priority").withColumn("_n", F.row_number().over(lane))
+    return rows.withColumn("turn", F.row_number().over(W.partitionBy(*keys).orderBy("_n", "priority")).cast("long")).drop("_n")
+
+
+def starving_drain(log: DataFrame, now: Column, starving_ms: int, step_ms: int = 1, lanes: int = 5, keys: tuple[str, ...] = ("topic", "partition")) -> DataFrame:
+    """Service order of a drain that begins at ``now`` and takes ``step_ms`` a message.
+
+    ``ts`` is when a message was enqueued. A lane whose head has waited more than ``starving_ms`` is served first, from the
+    least urgent lane up; that does not move the round-robin on. Order depends on what came before, so each partition is one call.
     """
     keys = list(keys)
 
     def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        lanes = [pdf.index[pdf.priority == p].tolist() for p in range(len(weights))]
-        lanes = [sorted(x, key=lambda i: pdf.at[i, "offset"]) for x in lanes]
-        heads, turn, order, credit, lane = [0] * len(lanes), 0, [], [0.0] * len(lanes), 0
-        unit = min(weights)
-        left = len(pdf)
-        while left:
+        pdf = pdf.sort_values("offset", ignore_index=True)
+        queues = [pdf.index[pdf.priority == p].tolist() for p in range(lanes)]
+        clock, enqueued = pdf["_now"].tolist(), pdf["_at"].tolist()
+        heads, order, lane = [0] * lanes, [], 0
+        for turn in range(len(pdf)):
             pick = None
-            if starving_ms is not None:
-                for p in reversed(range(len(lanes))):
-                    if heads[p] < len(lanes[p]) and turn * step_ms - pdf.at[lanes[p][heads[p]], "offset"] * step_ms > starving_ms:
+            for p in reversed(range(lanes)):
+                if heads[p] < len(queues[p]):
+                    i = queues[p][heads[p]]
+                    if clock[i] + turn * step_ms - enqueued[i] > starving_ms:
                         pick = p
                         break
             if pick is None:
-                while True:
-                    if heads[lane] < len(lanes[lane]):
-                        if credit[lane] < 1:
-                            credit[lane] += weights[lane] / unit
-                        pick = lane
-                        credit[lane] -= 1
-                        if credit[lane] < 1:
-                            lane = (lane + 1) % len(lanes)
-                        break
-                    credit[lane] = 0.0
-                    lane = (lane + 1) % len(lanes)
-            order.append(lanes[pick][heads[pick]])
+                while heads[lane] == len(queues[lane]):
+                    lane = (lane + 1) % lanes
+                pick, lane = lane, (lane + 1) % lanes
+            order.append(queues[pick][heads[pick]])
             heads[pick] += 1
-            turn += 1
-            left -= 1
-        out = pdf.loc[order, [*keys, "offset", "priority"]]
-        return out.assign(turn=range(1, len(out) + 1))
+        return pdf.loc[order, [*keys, "offset", "priority"]].assign(turn=range(1, len(order) + 1))
 
-    return log.select(*keys, "offset", "priority").groupBy(*keys).applyInPandas(serve, "topic string, partition int, offset long, priority int, turn long")
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    rows = log.select(*keys, "offset", "priority", ms(F.col("ts")).alias("_at"), ms(now).alias("_now"))
+    return rows.groupBy(*keys).applyInPandas(serve, "topic string, partition int, offset long, priority int, turn long")

@@ -192,15 +192,22 @@ def replica_append(log):
     return R.replica_append(log.where("event_id % 3 = 0"), log).select(*ID)
 
 
-@on_log(f"SELECT {MID}, segment, min(\"offset\") OVER (PARTITION BY {PID}, segment) AS base_offset FROM (SELECT *, CAST(coalesce(sum({BYTES}) OVER (PARTITION BY {PID} ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4096 AS BIGINT) AS segment FROM logs)")
-def segment_layout(log):
-    return R.segments(log, size(), 4096).select(*ID, "segment", "base_offset")
+#: Segments message by message: the bytes so far, and whether the next one still fits.
+ROLL = f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY {PID} ORDER BY "offset") AS rn, {BYTES} AS b FROM logs),
+ f AS (SELECT {PID}, rn, b AS pos, CAST(0 AS BIGINT) AS segment FROM r WHERE rn = 1 UNION ALL
+  SELECT r.topic, r."partition", r.rn, CASE WHEN f.pos + r.b > 4096 THEN r.b ELSE f.pos + r.b END, CASE WHEN f.pos + r.b > 4096 THEN f.segment + 1 ELSE f.segment END
+  FROM f JOIN r ON r.topic = f.topic AND r."partition" = f."partition" AND r.rn = f.rn + 1),
+ s AS (SELECT r.*, f.segment, min("offset") OVER w AS base_offset, max("offset") OVER w AS e, max(ts) OVER w AS te, max(segment) OVER (PARTITION BY r.topic, r."partition") AS a
+  FROM r JOIN f ON r.topic = f.topic AND r."partition" = f."partition" AND r.rn = f.rn WINDOW w AS (PARTITION BY r.topic, r."partition", segment))
+ """
 
 
-SEGMENTS = f"(SELECT *, max(\"offset\") OVER (PARTITION BY {PID}, segment) AS e, max(ts) OVER (PARTITION BY {PID}, segment) AS te, max(segment) OVER (PARTITION BY {PID}) AS a FROM (SELECT *, CAST(coalesce(sum({BYTES}) OVER (PARTITION BY {PID} ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4096 AS BIGINT) AS segment FROM logs))"
+@on_log(f"{ROLL} SELECT {MID}, segment, base_offset FROM s")
+def segment_layout(log):
+    return R.segments(log, size(), 4096).select(*ID, "segment", "base_offset")
 
 
-@on_log(f"SELECT {MID} FROM {SEGMENTS} WHERE (e >= 200 OR segment = a) AND \"offset\" <= 400")
+@on_log(f"{ROLL} SELECT {MID} FROM s WHERE (e >= 200 OR segment = a) AND \"offset\" <= 400")
 def truncate_and_delete(log):
     return R.truncate_after(R.delete_before(R.segments(log, size(), 4096), 200), 400).select(*ID)
 
@@ -322,7 +329,7 @@ def retention_rows(log):
     return T.keep_recent(log, D.as_of(), 168).select(*ID)
 
 
-@on_log(f"SELECT {MID} FROM {SEGMENTS} WHERE te >= $as_of - INTERVAL 168 HOUR OR segment = a")
+@on_log(f"{ROLL} SELECT {MID} FROM s WHERE te >= $as_of - INTERVAL 168 HOUR OR segment = a")
 def retention_segments(log):
     return T.keep_recent_segments(R.segments(log, size(), 4096), D.as_of(), 168).select(*ID)
 
@@ -594,12 +601,14 @@ def transaction_markers(log):
     return L.next_markers(R.not_control(rows), marks)
 
 
-@on_log(f"""WITH a AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY {PID} ORDER BY "offset") > INTERVAL 2 HOUR, true) AS f, {BYTES} AS b FROM logs),
- r AS (SELECT *, sum(CAST(f AS INTEGER)) OVER (PARTITION BY {PID} ORDER BY "offset") AS run FROM a),
- c AS (SELECT *, (row_number() OVER w - 1) // 10 AS cn, coalesce(sum(b) OVER (PARTITION BY {PID}, run ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 300 AS cb FROM r WINDOW w AS (PARTITION BY {PID}, run ORDER BY "offset"))
- SELECT {PID}, count(*) AS messages, CAST(sum(b) AS BIGINT) AS bytes, min("offset") AS first_offset FROM c GROUP BY topic, "partition", run, cn, cb""")
+@on_log(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY {PID} ORDER BY "offset") AS rn, {BYTES} - 34 AS b FROM logs),
+ f AS (SELECT {PID}, rn, 1 AS n, b AS total, ts AS made, 0 AS batch FROM r WHERE rn = 1 UNION ALL
+  SELECT topic, "partition", rn, CASE WHEN sent THEN 1 ELSE n + 1 END, CASE WHEN sent THEN b ELSE total + b END, CASE WHEN sent THEN ts ELSE made END, CASE WHEN sent THEN batch + 1 ELSE batch END
+  FROM (SELECT r.topic, r."partition", r.rn, r.b, r.ts, f.n, f.total, f.made, f.batch, f.n >= 10 OR f.total >= 300 OR r.ts - f.made >= INTERVAL 2 HOUR AS sent
+   FROM f JOIN r ON r.topic = f.topic AND r."partition" = f."partition" AND r.rn = f.rn + 1))
+ SELECT f.topic, f."partition", count(*) AS messages, CAST(sum(r.b) AS BIGINT) AS bytes, min(r."offset") AS first_offset FROM f JOIN r ON r.topic = f.topic AND r."partition" = f."partition" AND r.rn = f.rn GROUP BY f.topic, f."partition", f.batch""")
 def producer_batches(log):
-    return L.producer_batches(log, size(), 10, 300, "2 hours")
+    return L.producer_batches(log, size() - 34, 10, 300, 7_200)
 
 
 # Scalars
@@ -673,6 +682,29 @@ def schema_compatibility(spark, sf_dir):
     return K.successive(D.schemas(spark, sf_dir))
 
 
+#: (old, new, backward, forward) for the rules one by one; what is expected stands here and is computed nowhere.
+PAIRS = [
+    ('{"properties":{"a":{"type":"string"}},"required":["a"]}', '{"properties":{"a":{"type":"string"},"b":{"type":"string"}},"required":["a"]}', True, True),
+    ('{"properties":{"a":{"type":"string"}},"required":["a"]}', '{"properties":{"a":{"type":"string"},"b":{"type":"string"}},"required":["a","b"]}', False, True),
+    ('{"properties":{"a":{"type":"string"},"b":{"type":"string"}}}', '{"properties":{"a":{"type":"string"},"b":{"type":"string"}},"required":["b"]}', True, True),
+    ('{"properties":{"a":{"type":"string"}}}', '{"properties":{"a":{"type":"integer"}}}', False, True),
+    ('{"properties":{"a":{"type":"string"}}}', '{"properties":{"a":{}}}', True, True),
+    ('{"properties":{"a":{}}}', '{"properties":{"a":{"type":"integer"}}}', True, True),
+    ('{"properties":{"a":{"type":"string"},"b":{"type":"string"}},"required":["b"]}', '{"properties":{"a":{"type":"string"}}}', True, False),
+    ('{"properties":{"a":{"type":"string"},"b":{"type":"string"}},"required":["b"]}', '{"properties":{"b":{"type":"string"}}}', True, True),
+    ('{"required":["a"]}', '{"required":["a"]}', True, True),
+    ('{"type":"object"}', '{"required":["a"]}', False, True),
+    ('{"required":["a"]}', '{"type":"object"}', True, False),
+    ('{"properties":{"a":{"type":"string"}},"required":["a"]}', '{"properties":{"b":{"type":"string"}},"required":["b"]}', False, False),
+]
+
+
+@query("SELECT pair, backward, forward, backward AND forward AS \"full\" FROM (VALUES " + ", ".join(f"({i}, {b}, {f})" for i, (_, _, b, f) in enumerate(PAIRS)) + ") AS t(pair, backward, forward)")
+def schema_compatibility_rules(spark, sf_dir):
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(PAIRS)], "pair int, old string, new string")
+    return rows.select("pair", K.compatible(F.col("old"), F.col("new")).alias("c")).select("pair", "c.*")
+
+
 @query("SELECT c.c_custkey AS custkey, s.id AS schema_id, CAST(c.c_custkey % 3 <> 0 AS BOOLEAN) AS valid FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN (SELECT subject, max(id) AS id FROM schemas GROUP BY 1) s ON s.subject = n.n_name")
 def schema_validate(spark, sf_dir):
     rows = D.table(spark, sf_dir, "customer").join(F.broadcast(D.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -732,14 +764,14 @@ def token_bucket(log):
     return Q.token_bucket(r, rate=1 / 3600, capacity=3.0)
 
 
-@on_log()
+@on_log(f"SELECT {MID}, priority, row_number() OVER (PARTITION BY {PID} ORDER BY n, priority) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY {PID}, priority ORDER BY \"offset\") AS n FROM logs)")
 def weighted_drain(log):
     return Q.drain(log)
 
 
 @on_log()
 def starvation_drain(log):
-    return Q.drain(log, starving_ms=30_000, step_ms=1_000)
+    return Q.starving_drain(log, D.as_of(), starving_ms=30 * 86_400_000, step_ms=60_000)
 
 
 @query("""SELECT e.event_id, w.endpoint FROM events e, (SELECT 'all' AS endpoint, NULL AS t UNION ALL SELECT 'some', 'click' UNION ALL SELECT 'some', 'view') w WHERE w.t IS NULL OR w.t = e.event_type""")
@@ -754,6 +786,13 @@ def encryption_round_trip(log):
     return log.select("event_id", Z.decrypted(Z.encrypted(F.col("value").cast("binary"), key), key).cast("string").alias("value"))
 
 
+@on_log("""SELECT event_id, 34 + strlen(key) + strlen(coalesce(value, '')) AS bytes, printf('475101%02x', flags) AS head,
+ printf('%016x%016x%02x00%04x%08x0000', "offset", epoch_us(ts) * 1000, priority, strlen(key), strlen(coalesce(value, ''))) || lower(hex(encode(key))) || lower(hex(encode(coalesce(value, '')))) AS body FROM logs""")
+def record_frames(log):
+    record = F.lower(F.hex("record"))
+    return Z.records(log).select("event_id", F.octet_length("record").cast("long").alias("bytes"), F.substring(record, 1, 8).alias("head"), F.substring(record, 17, 1 << 30).alias("body"))
+
+
 @query("SELECT doc_id, text FROM documents")
 def compression_round_trip(spark, sf_dir):
     rows = D.table(spark, sf_dir, "documents").select("doc_id", Z.compressed(F.col("text").cast("binary")).alias("p"))

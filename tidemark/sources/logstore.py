@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,49 +85,56 @@ def crc32c(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
-#: The frame: magic, version, CRC of what follows it, flags, priority, offset, time, lengths of key and value. 34 bytes, big-endian.
-FRAME = struct.Struct(">BBI BBqq IIh")
+#: Fixed values of the record format. The frame: two bytes of magic, version, flags, CRC of all that follows it, offset, time,
+#: priority, a reserved zero, lengths of key, value and headers; 34 bytes, big-endian. Behind it key, value, headers.
+MAGIC, VERSION = b"\x47\x51", 1
+FRAME = struct.Struct(">2sBBIqqBBHIH")
+CHECKED_FROM = 8
+HAS_HEADERS = 1 << 1
+
+
+def encode_headers(headers: dict[str, str]) -> bytes:
+    """A count, then each key and value with its length in two bytes, in order of keys; nothing for no headers."""
+    parts = [x.encode() for pair in sorted(headers.items()) for x in pair]
+    return struct.pack(">H", len(headers)) + b"".join(struct.pack(">H", len(x)) + x for x in parts) if headers else b""
+
+
+def decode_headers(data: bytes) -> dict[str, str]:
+    parts, at = [], 2
+    for _ in range(2 * struct.unpack_from(">H", data)[0] if data else 0):
+        (n,) = struct.unpack_from(">H", data, at)
+        parts.append(bytes(data[at + 2 : at + 2 + n]).decode())
+        at += 2 + n
+    return dict(zip(parts[::2], parts[1::2]))
 
 
 def encode_record(offset: int, ts_ns: int, key: bytes | None, value: bytes, priority: int, flags: int, headers: dict[str, str]) -> bytes:
-    key = key or b""
-    head = b""
-    if headers:
-        flags |= 2
-        head = struct.pack(">H", len(headers)) + b"".join(struct.pack(">H", len(k.encode())) + k.encode() + struct.pack(">H", len(v.encode())) + v.encode() for k, v in sorted(headers.items()))
-    body = FRAME.pack(0x54, 1, 0, flags, priority, offset, ts_ns, len(key), len(value), 0)[6:] + head + key + value
-    return struct.pack(">BBI", 0x54, 1, crc32c(body)) + body
+    key, tail = key or b"", encode_headers(headers)
+    frame = FRAME.pack(MAGIC, VERSION, flags | (HAS_HEADERS if tail else 0), 0, offset, ts_ns, priority, 0, len(key), len(value), len(tail))
+    body = frame[CHECKED_FROM:] + key + value + tail
+    return frame[:4] + struct.pack(">I", crc32c(body)) + body
 
 
 def decode_record(data: bytes) -> dict:
     """The record at the beginning of data; ValueError if it is cut or damaged."""
     if len(data) < FRAME.size:
         raise ValueError("cut")
-    magic, version, crc, flags, priority, offset, ts_ns, nk, nv, _ = FRAME.unpack_from(data)
-    if magic != 0x54 or version != 1:
+    magic, version, flags, crc, offset, ts_ns, priority, _, nk, nv, nh = FRAME.unpack_from(data)
+    if magic != MAGIC or version != VERSION:
         raise ValueError("not a record")
-    at, headers = FRAME.size, {}
-    if flags & 2:
-        (n,) = struct.unpack_from(">H", data, at)
-        at += 2
-        for _ in range(n):
-            pair = []
-            for _ in range(2):
-                (m,) = struct.unpack_from(">H", data, at)
-                pair.append(data[at + 2 : at + 2 + m].decode())
-                at += 2 + m
-            headers[pair[0]] = pair[1]
-    end = at + nk + nv
+    key_end = FRAME.size + nk
+    value_end = key_end + nv
+    end = value_end + nh
     if len(data) < end:
         raise ValueError("cut")
-    if crc32c(data[6:end]) != crc:
+    if crc32c(data[CHECKED_FROM:end]) != crc:
         raise ValueError("damaged")
-    return {"offset": offset, "ts_ns": ts_ns, "key": data[at : at + nk] or None, "value": data[at + nk : end], "priority": priority, "flags": flags, "headers": headers, "size": end}
+    return {"offset": offset, "ts_ns": ts_ns, "key": bytes(data[FRAME.size : key_end]) or None, "value": bytes(data[key_end:value_end]), "priority": priority, "flags": flags, "headers": decode_headers(data[value_end:end]), "size": end}
 
 
 def decode_stream(data: bytes) -> Iterator[dict]:
     """The records of a segment up to the first that is cut or damaged."""
-    at = 0
+    at, data = 0, memoryview(data)
     while at < len(data):
         try:
             r = decode_record(data[at:])
@@ -136,6 +144,19 @@ def decode_stream(data: bytes) -> Iterator[dict]:
         at += r["size"]
 
 
+def records(log: DataFrame) -> DataFrame:
+    """(event_id, record): each message of (event_id, offset, ts, key, value, priority, flags) in its stored form, without headers."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]))
+            made = [encode_record(o, ts, None if k is None else k.encode(), (v or "").encode(), p, f, {}) for o, ts, k, v, p, f in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(made, pa.binary())], ["event_id", "record"])
+
+    rows = log.select("event_id", "offset", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), "key", "value", "priority", "flags")
+    return rows.mapInArrow(encode, "event_id long, record binary")
+
+
 def compressed(value: Column, codec: str = "gzip", least: int = 64) -> Column:
     """(flags bit, data): compressed if at least ``least`` bytes and if that is smaller; in Arrow batches."""
 
