@@ -1,13 +1,16 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that carries their labels to distant repeats.
 
-The patterns give the base spans. The field runs over a document's active tokens, those with a digit or an at
-sign; all other tokens are held at "nothing", which cuts the chain between active tokens that do not follow each
+The patterns give the base spans. The field runs over a document's active nodes: tokens with a digit or an at sign, where
+all tokens of one base span are one node, and so are numbers in a row that have up to 19 digits together, such as
+``(017) 555-7713``. All other tokens are held at "nothing", which cuts the chain between nodes that do not follow each
 other. Its potentials: a log-linear one for each token over features of its shape and neighbours; one for each pair
-of active tokens in a row; and skip edges between successive occurrences of the same or similar tokens (the same
-digits, or the same letters and digits, without punctuation or case), wherever they stand in the document.
-Loopy belief propagation passes messages until they settle, base spans held fast. A token gets a span when its
-probability of a kind is at least ``sure`` and skip edges tie it to an occurrence that a base span holds, so that an
-entity is labelled alike throughout its document and documents without base spans gain none. Base spans always stay.
+of nodes in a row; and skip edges between successive occurrences of the same or similar nodes (the same
+digits; digits of which one are the end of the other's, 7 at least and 3 less at most, as without a country's code; or the same
+letters and digits, without punctuation or case), wherever they stand in the document.
+Loopy belief propagation passes messages until they settle, base spans held fast. A node gets a span, of its
+likeliest kind, when the probability that it is of any is at least ``sure`` and skip edges tie it to an occurrence that a base span holds, so that an
+entity is labelled alike throughout its document, in whatever format it comes again. Documents without base spans can gain none,
+so the field is not run there. Base spans always stay.
 
 Potentials are trained on the base spans of a bounded sample (``fit_docs``, by hash of the text, copies once; a text of
 more than PIECE characters is cut at blanks, and each piece is sampled as a text): the token weights by multinomial
@@ -35,7 +38,7 @@ from ._common import map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct pieces of texts that the potentials are fitted on, at most, and characters of a piece; the probability that a span needs.
-FIT_DOCS, PIECE, SURE = 3_000, 20_000, 0.95
+FIT_DOCS, PIECE, SURE = 3_000, 20_000, 0.5
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: The contract's patterns; possessive, which changes no match here and keeps them linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -45,6 +48,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]")
 ACTIVE = re.compile(r"\S*?[0-9@]\S*")
 NOT_DIGIT, NOT_ALNUM = re.compile(r"[^0-9]+"), re.compile(r"[\W_]+")
+#: A token of a number that may come in several; and one that ends it.
+NUMBER, ENDED = re.compile(r"[(+]?[0-9][0-9().+-]*[.,;:!?]*").fullmatch, re.compile(r"[.,;:!?]$").search
+#: Digits of numbers in a row that are one node, and of what skip edges tie, at most and least; digits that a similar one may lack.
+MOST_DIGITS, LEAST_DIGITS, TAIL, LACK = 19, 6, 7, 3
+#: Pairs that agree, for one that does not, that are counted before any is seen: as many digits seldom come again as something else.
+SAME = 200
 FEATURES = 24
 
 
@@ -100,32 +109,59 @@ def features(token: str, before: str, after: str) -> np.ndarray:
     return out
 
 
+def merged_nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, label) of the active nodes: tokens, those of a base span and numbers in a row as one; label: the base span's kind + 1, or 0."""
+    out: list[tuple[int, int, int]] = []
+    at, last, digits = 0, None, 0
+    for m in ACTIVE.finditer(text) if ANY.search(text) else ():
+        a, b = m.span()
+        while at < len(base) and base[at][2] <= a:
+            at += 1
+        span = next((s for s in takewhile(lambda s: s[0] < b, islice(base, at, None)) if s[2] > a), None)  # noqa: B023
+        n = len(NOT_DIGIT.sub("", m[0])) if span is None and NUMBER(m[0]) else MOST_DIGITS + 1
+        if span is not None and span == last:
+            out[-1] = out[-1][0], b, out[-1][2]
+        elif span is None and last is None and out and text[out[-1][1] : a] == " " and digits + n <= MOST_DIGITS and not ENDED(text[out[-1][1] - 1]):
+            out[-1], digits = (out[-1][0], b, 0), digits + n
+        else:
+            out.append((a, b, span[1] + 1 if span else 0))
+            digits = n
+        last = span
+    return out
+
+
+def similar(x: str, y: str) -> bool:
+    """Whether one's digits are the end of the other's, a few less at most."""
+    return abs(len(x) - len(y)) <= LACK and (x.endswith(y) or y.endswith(x))
+
+
 class Graph:
-    """The active tokens of many documents, with their edges."""
+    """The active nodes of many documents, with their edges."""
 
     def __init__(self, texts: list[str], bases: list[list[tuple[int, int, int]]]):
-        self.doc, self.start, self.end, self.held, rows, chain, skip = [], [], [], [], [], [], []
+        self.doc, self.start, self.end, self.held, rows, chain, skip, tails = [], [], [], [], [], [], set(), {}
         for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
-            tokens = [m.span() for m in ACTIVE.finditer(text)] if ANY.search(text) else []
-            at, known = 0, defaultdict(list)
-            first = len(self.doc)
-            for j, (a, b) in enumerate(tokens):
-                while at < len(base) and base[at][2] <= a:
-                    at += 1
-                label = next((k + 1 for _, k, e in takewhile(lambda s: s[0] < b, islice(base, at, None)) if e > a), 0)  # noqa: B023
+            known, first = defaultdict(list), len(self.doc)
+            nodes = merged_nodes(text, base)
+            for j, (a, b, label) in enumerate(nodes):
                 i = first + j
                 self.doc.append(d), self.start.append(a), self.end.append(b), self.held.append(label)
-                before = text[tokens[j - 1][0] : tokens[j - 1][1]] if j and a - tokens[j - 1][1] == 1 else ""
-                after = text[tokens[j + 1][0] : tokens[j + 1][1]] if j + 1 < len(tokens) and tokens[j + 1][0] - b == 1 else ""
-                rows.append(features(text[a : min(b, a + 200)], before, after))
+                before = text[nodes[j - 1][0] : nodes[j - 1][1]] if j and a - nodes[j - 1][1] == 1 else ""
+                after = text[nodes[j + 1][0] : nodes[j + 1][1]] if j + 1 < len(nodes) and nodes[j + 1][0] - b == 1 else ""
+                token = text[a:b]
+                rows.append(features(token, before, after))
                 if before:
                     chain.append((i - 1, i))
-                token = text[a:b]
                 digits, plain = NOT_DIGIT.sub("", token), NOT_ALNUM.sub("", token).lower()
                 for key in (("d", digits), ("a", plain)):
-                    if len(key[1]) >= 6:
+                    if len(key[1]) >= LEAST_DIGITS:
                         known[key].append(i)
-            skip += {(x, y) for occurrences in known.values() for x, y in zip(occurrences, occurrences[1:])}
+                if TAIL <= len(digits) <= MOST_DIGITS:
+                    tails[i] = digits
+                    known["t", digits[-TAIL:]].append(i)
+            for (kind, _), occurrences in known.items():
+                pairs = zip(occurrences, occurrences[1:])
+                skip |= set(pairs) if kind != "t" else {(x, y) for x, y in pairs if similar(tails[x], tails[y])}
         self.x = np.array(rows).reshape(-1, FEATURES)
         self.held = np.array(self.held, int)
         self.chain, self.skip = np.array(chain, int).reshape(-1, 2), np.array(sorted(skip), int).reshape(-1, 2)
@@ -160,7 +196,7 @@ def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.add.at(pair, (g.held[g.chain[:, 0]], g.held[g.chain[:, 1]]), 1)
     chain = np.clip(np.log(pair * pair.sum() / np.outer(pair.sum(1), pair.sum(0))), -3, 3)
     same = int((g.held[g.skip[:, 0]] == g.held[g.skip[:, 1]]).sum())
-    agree = np.clip(np.log((same + 20) / (len(g.skip) - same + 1)), 2, 8)
+    agree = np.clip(np.log((same + SAME) / (len(g.skip) - same + 1)), 2, 8)
     return w, chain, agree * np.eye(k)
 
 
@@ -204,12 +240,12 @@ def find_spans(texts: list[str], weights: tuple[np.ndarray, np.ndarray, np.ndarr
     if some:
         g = Graph([texts[i] for i in some], [bases[i] for i in some])
         p = marginals(g, weights)
-        for i in np.where((g.held == 0) & g.tied() & (p[:, 1:].max(1, initial=0) >= sure))[0]:
+        for i in np.where((g.held == 0) & g.tied() & (1 - p[:, 0] >= sure))[0]:
             d = some[g.doc[i]]
             start, end = g.start[i], g.end[i]
             core = texts[d][start:end]
-            end -= len(core) - len(core.rstrip(".,;:!?)\"'"))
-            start += len(core) - len(core.lstrip("(\"'"))
+            end -= len(core) - len(core.rstrip(".,;:!?)\"'%$*&#"))
+            start += len(core) - len(core.lstrip("\"'" if ")" in core else "(\"'"))
             if start < end:
                 added[d].append((start, int(p[i, 1:].argmax()), end))
     return [(b, sorted(b + added[i])) for i, b in enumerate(bases)]
