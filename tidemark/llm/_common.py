@@ -127,6 +127,11 @@ class Memo:
             self.put(key, got)
         return got
 
+    def peek(self, key):
+        """The value of key, if it is known; changes nothing."""
+        got = self.new.get(key)
+        return self.old.get(key) if got is None else got
+
     def put(self, key, value) -> None:
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}

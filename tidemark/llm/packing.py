@@ -15,6 +15,7 @@ ids too. Ties in length go by id and piece. An empty table gives an empty result
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -40,8 +41,10 @@ PART_PIECES, ROUNDS = 20_000, 6
 REMEMBERED, LINES = 500_000, 256
 
 _LOADED: dict[str, tuple] = {}
+_KINDS: dict[str | None, bool] = {}
 _DOUBLE = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
+_LETTERS = re.compile(r"( ?([^\W\d_]+))([!-/:-@\[-`{-~]*)").fullmatch
 _PLAIN = re.compile(r" ?\S+").fullmatch
 
 
@@ -57,6 +60,16 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
+def _byte_level(tokenizer) -> bool:
+    """Whether the tokenizer is byte-level, with that pre-tokenizer alone and no normalizer."""
+    path = next((p for p, (t, _) in _LOADED.items() if t is tokenizer), None)
+    if path not in _KINDS:
+        made = json.loads(tokenizer.to_str())
+        kind = made["pre_tokenizer"] or {}
+        _KINDS[path] = not made["normalizer"] and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
+    return _KINDS[path]
+
+
 def plain(text: str) -> bool:
     """Whether the text has no white space beside a blank, nor at its ends."""
     return bool(text) and not text[0].isspace() and not text[-1].isspace() and not _DOUBLE.search(text)
@@ -69,12 +82,38 @@ def little_endian(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-def encode_words(words: list[str], tokenizer) -> list[bytes]:
-    """The ids of each word. Words without inner white space are encoded many at a time, each on a line: a line's end between them is a pre-token of its own."""
+def byte_letters() -> dict[int, int]:
+    """The letter that a byte-level vocabulary writes each byte as: itself where it is printable, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
+def encode_words(words: list[str], tokenizer, known=lambda word: None) -> list[bytes]:
+    """The ids of each word.
+
+    Letters, with a blank in front or not, are a pre-token, and so is the punctuation behind them: the model takes
+    such a word without the pre-tokenizer, and ``known`` may have its letters. Of the others those without inner white space
+    are encoded many at a time, each on a line: a line's end between them is a pre-token of its own.
+    """
+    out: dict[str, bytes] = {}
+    tails: dict[str, bytes] = {"": b""}
+    model, letters = tokenizer.model, byte_letters()
+    for word in words if _byte_level(tokenizer) else ():
+        m = _LETTERS(word)
+        if not m or not m[2].isalpha():
+            continue
+        ids, front = known(m[1]) if m[3] else None, m[1]
+        if ids is None:
+            front = front.replace(" ", "\u0120") if front.isascii() else front.encode().decode("latin-1").translate(letters)
+            ids = little_endian([t.id for t in model.tokenize(front)])
+        tail = tails.get(m[3])
+        if tail is None:
+            tail = tails[m[3]] = little_endian(tokenizer.encode(m[3], add_special_tokens=False).ids)
+        out[word] = ids + tail
     mark = tokenizer.encode("\n", add_special_tokens=False).ids
-    plain = [w for w in words if _PLAIN(w)] if len(mark) == 1 else []
+    plain = [w for w in words if w not in out and _PLAIN(w)] if len(mark) == 1 else []
     chunks = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
-    out = {}
     for chunk, e in zip(chunks, tokenizer.encode_batch_fast(["\n".join(c) for c in chunks], add_special_tokens=False), strict=True):
         ids = little_endian(e.ids)
         ends = (np.flatnonzero(np.frombuffer(ids, "<u4") == mark[0]) * 4).tolist() + [len(ids)]
@@ -103,7 +142,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     word = np.concatenate([word, np.arange(len(keys), len(keys) + sum(map(len, other.values())))])
     for ws in other.values():
         keys += ws
-    ids = memo.values(keys, lambda missing: encode_words(missing, tokenizer))
+    ids = memo.values(keys, lambda missing: encode_words(missing, tokenizer, memo.peek))
     flat, lengths = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     starts, n = np.cumsum(lengths) - lengths, lengths[word]
     ends = np.cumsum(n)
