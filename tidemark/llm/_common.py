@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join is broadcast; each row is at most a few dozen bytes.
 BROADCAST_ROWS = 200_000
 #: Rows that an operator handles at once: bounds a worker's memory. Bytes of a batch are bounded by Spark's arrow.maxBytesPerBatch.
-ARROW_ROWS = 1_000
+ARROW_ROWS, ARROW_BYTES = 1_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,12 +101,13 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
-    """df.mapInArrow, with batches of at most so many rows handed to f."""
+    """df.mapInArrow, with batches of at most so many rows, and of about ARROW_BYTES at most, handed to f."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield batch.slice(at, rows)
+            some = max(1, min(rows, batch.num_rows * ARROW_BYTES // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, some):
+                yield batch.slice(at, some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(sliced(batches))

@@ -38,7 +38,9 @@ CAPACITY, END_ID = 2048, 0
 #: Pieces in a partition, about, and rounds of repacking at most.
 PART_PIECES, ROUNDS = 20_000, 6
 #: Words that a worker remembers, and again as many of the generation before; words encoded at a time.
-REMEMBERED, LINES = 500_000, 256
+REMEMBERED, LINES = 150_000, 256
+#: Rows of a batch: the more, the more of its words are equal.
+ROWS = 4_000
 
 _LOADED: dict[str, tuple] = {}
 _KINDS: dict[str | None, bool] = {}
@@ -173,7 +175,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacit
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return map_arrow(rows, cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(rows, cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long", ROWS)
 
 
 def lower_bound(histogram: np.ndarray, capacity: int) -> int:
