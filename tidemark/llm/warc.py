@@ -54,16 +54,16 @@ def record_types(pages: DataFrame, payload: Column, id_col: str, least: int = LE
 
 
 def chunk_rows(pages: DataFrame, payload: Column, id_col: str, chunk: int = CHUNK, least: int = LEAST, url_col: str | None = "url") -> DataFrame:
-    """The chunked record table: (page_id, copy, chunk_no, last, data and the record's headers), all rows of an id in one partition, in order.
+    """The chunked record table: (page_id, copy, chunk_no, last, data and the record's headers), all rows of an id and payload in one partition, in order.
 
-    Payloads are shuffled once, by id, to meet their type; a task then cuts them into chunks and sorts those.
+    Payloads are shuffled once, by id and digest, the keys of the join in which they meet their type; a task then cuts them into chunks and sorts those.
     """
     types = record_types(pages, payload, id_col, least)
     kinds = types.groupBy("page_id", "digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"))
     key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     url = F.col(url_col) if url_col in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(key(F.col(id_col)).alias("_key"), url.alias("url"), payload.alias("payload"), base32_sha1(payload).alias("_digest")).repartition("_key")
-    rows = rows.join(kinds.withColumn("_key", key(F.col("page_id"))), "_key").where("_digest = digest").drop("_key", "_digest")
+    rows = pages.select(key(F.col(id_col)).alias("_key"), url.alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest")).repartition("_key", "digest")
+    rows = rows.join(kinds.withColumn("_key", key(F.col("page_id"))), ["_key", "digest"]).drop("_key")
     rows = rows.withColumn("copy", F.monotonically_increasing_id())
     n = F.when(F.col("record_type") == "revisit", F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk)).cast("int"))
     rows = rows.withColumn("n", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
