@@ -2,7 +2,7 @@
 
 import pytest
 from compare import SF, difference
-from tidemark.plans.queries import ORACLES, QUERIES
+from tidemark.plans.surface import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

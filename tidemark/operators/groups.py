@@ -138,6 +138,11 @@ def in_sync_replicas(followers: DataFrame, as_of_ms: int, most_silent_ms: int =
     return followers.withColumn("in_sync", ok)
 
 
+def expanded(followers: DataFrame) -> DataFrame:
+    """in_sync after a fetch: members stay as they are judged; others come in only when they have caught up to the leader's last message and are judged in sync. ``was`` tells who was a member."""
+    return followers.withColumn("is_member", F.col("in_sync") & (F.col("was") | (F.col("matched") >= F.col("leo") - 1)))
+
+
 def high_watermark(followers: DataFrame) -> DataFrame:
     """For each partition: the offset that all in sync have reached, how many those are, the least matched, the greatest lag."""
     ok = F.col("in_sync")

@@ -191,3 +191,59 @@ def delete_before(segmented: DataFrame, offset: int) -> DataFrame:
     w = W.partitionBy(*PART, "segment")
     ends = segmented.withColumn("_end", F.max("offset").over(w)).withColumn("_active", F.max("segment").over(W.partitionBy(*PART)))
     return ends.where((F.col("_end") >= offset) | (F.col("segment") == F.col("_active"))).drop("_end", "_active")
+
+
+def write_buffer(log: DataFrame, size: Column, most_bytes: int, most_messages: int, linger_ms: int = 0) -> DataFrame:
+    """The flush that each message goes out with: what would take the buffer beyond its bytes, or finds it full of messages, flushes it first; a timer flushes each ``linger_ms`` (0: no timer)."""
+    tick = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (linger_ms * 1000)) if linger_ms else F.lit(0)
+
+    def buffer():
+        held = messages = 0
+        last = None
+
+        def begins(n: int, now: int) -> bool:
+            nonlocal held, messages, last
+            flush = held + n > most_bytes or messages >= most_messages or now != last
+            held, messages, last = (n, 1, now) if flush else (held + n, messages + 1, now)
+            return flush
+
+        return begins
+
+    return numbered(log.withColumns({"_size": size.cast("long"), "_tick": tick.cast("long")}), buffer, ["_size", "_tick"], "flush").drop("_size", "_tick")
+
+
+def flow_window(batch: int) -> int:
+    """Messages that are sent before a pause: five batches, 100 at least and 5,000 at most."""
+    return min(max(5 * batch, 100), 5_000)
+
+
+def flow_pauses(batches: DataFrame, count: Column, window: int) -> DataFrame:
+    """batches (topic, partition, offset, ...) with ``pauses``, how many pauses came before each: one after each batch that exhausts the window. Empty batches count for nothing."""
+
+    def controller():
+        sent = 0
+
+        def begins(n: int) -> bool:
+            nonlocal sent
+            paused = sent >= window
+            sent = (0 if paused else sent) + max(n, 0)
+            return paused
+
+        return begins
+
+    return numbered(batches.withColumn("_count", F.coalesce(count, F.lit(0)).cast("long")), controller, ["_count"], "pauses").drop("_count")
+
+
+def next_n_in_lane(log: DataFrame, priority: int, start: int, n: int) -> DataFrame:
+    return first_per(log.where((F.col("priority") == priority) & (F.col("offset") >= start)), PART, ["offset"], n)
+
+
+def peek_lanes(log: DataFrame) -> DataFrame:
+    """The head of each lane, which stays there."""
+    return log.groupBy(*PART, "priority").agg(F.min("offset").alias("head"))
+
+
+def time_index_range(log: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Offsets to read a span of time between: that of the last message at or before its start (else the first), and of the first at or after its end (-1: read to the end)."""
+    first = F.coalesce(F.max(F.when(F.col("ts") <= start, F.col("offset"))), F.min("offset"))
+    return log.groupBy(*PART).agg(first.alias("start_offset"), F.coalesce(F.min(F.when(F.col("ts") >= end, F.col("offset"))), F.lit(-1)).alias("end_offset"))

@@ -61,18 +61,24 @@ def due(flights: DataFrame, as_of: Column, retries: int = 3) -> DataFrame:
 def accepted_sequences(sent: DataFrame) -> DataFrame:
     """How an idempotent producer's messages fare: ok, duplicate or gap, for each producer and partition in order of arrival.
 
-    A message is accepted if its number is the one expected, which is one more than was accepted last. A fold over
-    arrivals says so exactly, and per key it needs the numbers only.
+    A message is accepted if its number is the one expected, which is one more than was accepted last. Rows stream through
+    sorted batches; a key is one number of state.
     """
-    arrivals = F.array_sort(F.collect_list(F.struct("arrival", "sequence")))
-    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<arrival:bigint,sequence:bigint,verdict:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        verdict = F.when(x["sequence"] == acc["next"], "ok").when(x["sequence"] < acc["next"], "duplicate").otherwise("gap")
-        return F.struct((acc["next"] + F.when(x["sequence"] == acc["next"], 1).otherwise(0)).alias("next"), F.array_append(acc["out"], F.struct(x["arrival"].alias("arrival"), x["sequence"].alias("sequence"), verdict.alias("verdict"))).alias("out"))
-
-    got = sent.groupBy("producer_id", "partition").agg(F.aggregate(arrivals, start, step)["out"].alias("_out"))
-    return got.select("producer_id", "partition", F.explode("_out").alias("x")).select("producer_id", "partition", "x.*")
+    def judge(batches):
+        key, expected = None, 0
+        for pdf in batches:
+            verdicts = []
+            for producer, partition, n in zip(pdf["producer_id"], pdf["partition"], pdf["sequence"]):
+                if (producer, partition) != key:
+                    key, expected = (producer, partition), 0
+                verdicts.append("ok" if n == expected else "duplicate" if n < expected else "gap")
+                expected += n == expected
+            yield pdf.assign(verdict=verdicts)
+
+    rows = sent.select("producer_id", "partition", "arrival", "sequence")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition("producer_id", "partition").sortWithinPartitions("producer_id", "partition", "arrival").mapInPandas(judge, f"{fields}, verdict string")
 
 
 def gap_free_sequences(sent: DataFrame) -> DataFrame:

@@ -36,6 +36,51 @@ def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return requests.join(met, "request_id", "left").join(F.broadcast(any_rule)).select(*requests.columns, allowed.alias("allowed"))
 
 
+#: Kinds of quota; fixed values of the data model.
+QUOTAS = (
+    "publish_rate", "consume_rate", "publish_bytes_rate", "consume_bytes_rate", "storage", "topics", "partitions",
+    "message_size", "retention", "delay", "connections", "consumer_groups", "consumers_per_group",
+)
+
+
+def first_failure(checks: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """For each tenant the first check of a composite that fails, by ``order``; null where all hold."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("quota"))
+    return checks.where(F.col("quota").isin(*order)).groupBy("tenant").agg(F.min(F.when(~F.col("ok"), F.struct(rank.alias("k"), "quota"))).alias("m")).select("tenant", F.col("m.quota").alias("failed"))
+
+
+def publish_gate(requests: DataFrame, most: int, rate: float, burst: float, byte_rate: float, byte_burst: float) -> DataFrame:
+    """requests (tenant, seq, at_s, bytes) with ``refused``: null, or the first check that fails of size, messages and bytes.
+
+    What a check has taken stays taken when a later one fails. A tenant is two numbers of state, over sorted batches.
+    """
+
+    def gate(batches):
+        who, tokens, left, last = None, 0.0, 0.0, 0.0
+        for pdf in batches:
+            out = []
+            for tenant, at, n in zip(pdf["tenant"], pdf["at_s"], pdf["bytes"]):
+                if tenant != who:
+                    who, tokens, left, last = tenant, burst, byte_burst, at
+                tokens, left, last = min(burst, tokens + (at - last) * rate), min(byte_burst, left + (at - last) * byte_rate), at
+                why = None
+                if n > most:
+                    why = "message_size"
+                elif tokens < 1:
+                    why = "publish_rate"
+                else:
+                    tokens -= 1
+                    if left < n:
+                        why = "publish_bytes_rate"
+                    else:
+                        left -= n
+                out.append(why)
+            yield pdf.assign(refused=pd.Series(out, index=pdf.index, dtype=object))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema)
+    return requests.repartition("tenant").sortWithinPartitions("tenant", "seq").mapInPandas(gate, f"{fields}, refused string")
+
+
 def quota_checks(usage: DataFrame, limits: dict[str, tuple[str, str]]) -> DataFrame:
     """A row for each tenant and quota type: used, limit, and whether it holds; a limit of 0 is none.
 

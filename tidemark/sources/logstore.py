@@ -39,9 +39,10 @@ def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 16) -> D
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def publish(batch: DataFrame, log: DataFrame, path: str, order: list) -> None:
-    """Appends batch behind the ends of its partitions."""
-    write_log(append(log, batch, order), path)
+def publish(batch: DataFrame, log: DataFrame, path: str, order: list, columns: list[str] | None = None) -> None:
+    """Appends batch behind the ends of its partitions; with ``columns``, only those and the offsets are written."""
+    rows = append(log, batch, order)
+    write_log(rows.select("offset", *columns) if columns else rows, path)
 
 
 def dead_letter_sink(path: str):
@@ -54,7 +55,7 @@ def dead_letter_sink(path: str):
 
 
 def export_spans(spans: DataFrame, path: str, endpoints: tuple[str, ...] = ("file",)) -> None:
-    """Writes spans to each endpoint's folder as JSON lines; all from one cached read."""
+    """Writes spans to each endpoint's folder as JSON lines, by one read for each endpoint."""
     for name in endpoints:
         spans.write.mode("overwrite").json(f"{path}/{name}")
 

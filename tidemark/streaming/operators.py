@@ -76,16 +76,17 @@ def delayed(stream: DataFrame, late: str) -> DataFrame:
     rows = stream.withWatermark("ts", late).withColumn("due_s", F.ceil(F.unix_micros("deliver_at") / 1e6).cast("long"))
 
     def hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        due_ms = int(key[2]) * 1000
+        held = [int(o) for o in state.get[0]] if state.exists else []
         if not state.hasTimedOut:
             held += [int(o) for pdf in batches for o in pdf["offset"]]
-        if state.hasTimedOut or state.getCurrentWatermarkMs() >= key[2] * 1000:
+        if state.hasTimedOut or state.getCurrentWatermarkMs() >= due_ms:
             if state.exists:
                 state.remove()
             yield pd.DataFrame({"topic": key[0], "partition": key[1], "offset": sorted(held), "due_s": key[2]})
         else:
             state.update((held,))
-            state.setTimeoutTimestamp(key[2] * 1000)
+            state.setTimeoutTimestamp(due_ms)
 
     return rows.groupBy("topic", "partition", "due_s").applyInPandasWithState(hold, "topic string, partition int, offset long, due_s long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -130,3 +131,18 @@ def deliveries(events: DataFrame, late: str, visible_ms: int = 30_000, retries:
 
     schema = "group_id string, topic string, partition int, offset long, outcome string"
     return rows.groupBy("group_id", "topic", "partition", "offset").applyInPandasWithState(step, schema, "deliveries int, deadline long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def subscribe(stream: DataFrame, assignment: DataFrame, committed: DataFrame) -> DataFrame:
+    """What a group's members get of a stream of the log: (group_id, member_id) and each message at or beyond the group's commit in the partitions assigned (from 0 without a commit).
+
+    Both tables are read anew in each micro-batch, so that a rebalance or a reset holds from the next one on.
+    """
+    keys = ["group_id", "topic", "partition"]
+    starts = assignment.select(*keys, "member_id").join(committed.select(*keys, "committed"), keys, "left")
+    return stream.join(starts, ["topic", "partition"]).where(F.col("offset") >= F.coalesce("committed", F.lit(0))).drop("committed")
+
+
+def positions(delivered: DataFrame) -> DataFrame:
+    """The offsets to commit after what was delivered."""
+    return delivered.groupBy("group_id", "topic", "partition").agg((F.max("offset") + 1).alias("offset"))
