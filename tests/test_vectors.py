@@ -86,3 +86,11 @@ def test_records():
         with pytest.raises(ValueError):
             logstore.decode_record(bytes(bad))
     assert logstore.crc32c(b"123456789") == 0xE3069283
+
+
+def test_murmur3(spark):
+    from tidemark.functions.scalars import murmur3_32
+
+    want = {"": 0, "a": 1009084850, "ab": 2613040991, "abc": 3017643002, "hello": 613153351, "hello world": 1586663183}
+    rows = spark.createDataFrame([(k,) for k in want], "k string").select("k", murmur3_32(F.col("k").cast("binary")).alias("h")).collect()
+    assert {r["k"]: r["h"] for r in rows} == want

@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 MASK = 0xFFFFFFFF
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x), with x computed once: a column that is mentioned twice is written out twice, and steps upon steps double each time."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _times(x: Column, factor: int) -> Column:
     """x * factor mod 2**32 for 0 <= x < 2**32, in two halves so that nothing overflows."""
-    high = F.shiftright(x, 16)
-    low = x.bitwiseAND(0xFFFF)
-    return (F.shiftleft((high * factor).bitwiseAND(0xFFFF), 16) + low * factor).bitwiseAND(MASK)
+    return _bound(x, lambda v: (F.shiftleft((F.shiftright(v, 16) * factor).bitwiseAND(0xFFFF), 16) + v.bitwiseAND(0xFFFF) * factor).bitwiseAND(MASK))
 
 
 def _rotated(x: Column, bits: int) -> Column:
-    return F.shiftleft(x, bits).bitwiseAND(MASK).bitwiseOR(F.shiftrightunsigned(x, 32 - bits))
+    return _bound(x, lambda v: F.shiftleft(v, bits).bitwiseAND(MASK).bitwiseOR(F.shiftrightunsigned(v, 32 - bits)))
+
+
+def _folded(x: Column, bits: int) -> Column:
+    return _bound(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, bits)))
 
 
 def murmur3_32(data: Column) -> Column:
     """MurmurHash3 x86 32-bit, seed 0, of bytes, as an unsigned number. The constants are the algorithm's own."""
     digits, n = F.hex(data), F.octet_length(data)
     octet = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    word = lambda i, k: F.coalesce(octet(i + k), F.lit(0)) if k else octet(i)
     mixed = lambda k: _times(_rotated(_times(k, 0xCC9E2D51), 15), 0x1B873593)
 
     def block(h: Column, i: Column) -> Column:
@@ -31,15 +37,12 @@ def murmur3_32(data: Column) -> Column:
         k = octet(at) + F.shiftleft(octet(at + 1), 8) + F.shiftleft(octet(at + 2), 16) + F.shiftleft(octet(at + 3), 24)
         return (_rotated(h.bitwiseXOR(mixed(k)), 13) * 5 + F.lit(0xE6546B64).cast("long")).bitwiseAND(MASK)
 
-    blocks = F.floor(n / 4).cast("int")
-    h = F.aggregate(F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")), F.lit(0).cast("long"), block)
-    rest = (n % 4).cast("int")
-    tail = sum((F.when(rest > k, F.shiftleft(word(blocks * 4, k), 8 * k)).otherwise(F.lit(0)) for k in range(3)), F.lit(0).cast("long"))
-    h = F.when(rest > 0, h.bitwiseXOR(mixed(tail))).otherwise(h)
-    h = h.bitwiseXOR(n.cast("long"))
-    h = _times(h.bitwiseXOR(F.shiftrightunsigned(h, 16)), 0x85EBCA6B)
-    h = _times(h.bitwiseXOR(F.shiftrightunsigned(h, 13)), 0xC2B2AE35)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
+    blocks, rest = F.floor(n / 4).cast("int"), (n % 4).cast("int")
+    none = F.lit(0).cast("long")
+    h = F.aggregate(F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")), none, block)
+    tail = sum((F.when(rest > k, F.shiftleft(octet(blocks * 4 + k), 8 * k)).otherwise(none) for k in range(3)), none)
+    h = h.bitwiseXOR(F.when(rest > 0, mixed(tail)).otherwise(none)).bitwiseXOR(n.cast("long"))
+    return _folded(_times(_folded(_times(_folded(h, 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
 
 
 def hash_partition(key: Column, partitions: Column | int) -> Column:

@@ -758,7 +758,11 @@ def tenant_gate(log):
     return Q.active_only(log.withColumn("tenant", F.col("user_id") % 8), tenants).select("event_id")
 
 
-@on_log()
+@on_log("""WITH RECURSIVE r AS (SELECT user_id % 8 AS tenant, event_id AS seq, epoch_us(ts) / 1000000::DOUBLE AS at_s, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS rn FROM logs),
+ f AS (SELECT tenant, rn, seq, at_s, true AS allowed, 2.0::DOUBLE AS tokens, 0.0::DOUBLE AS wait_s FROM r WHERE rn = 1 UNION ALL
+  SELECT tenant, rn, seq, at_s, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END, CASE WHEN t >= 1 THEN 0 ELSE (1 - t) / (1::DOUBLE / 3600) END
+  FROM (SELECT r.*, least(3.0::DOUBLE, f.tokens + (r.at_s - f.at_s) * (1::DOUBLE / 3600)) AS t FROM f JOIN r ON r.tenant = f.tenant AND r.rn = f.rn + 1))
+ SELECT tenant, seq, at_s, 1.0::DOUBLE AS cost, allowed, round(tokens, 6) AS tokens, round(wait_s, 6) AS wait_s FROM f""")
 def token_bucket(log):
     r = log.select((F.col("user_id") % 8).alias("tenant"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_s"), F.lit(1.0).alias("cost"))
     return Q.token_bucket(r, rate=1 / 3600, capacity=3.0)
@@ -866,7 +870,9 @@ def stream_sessions(spark, sf_dir):
     return O.run_available(O.sessions(O.table_stream(spark, sf_dir, "events"), "user_id", "12 hours", "1 day"), "sessions", "complete")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id AS producer_id, CAST(user_id % 4 AS INTEGER) AS "partition", event_id AS arrival, event_id % 3 AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+ f AS (SELECT DISTINCT producer_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS expected FROM r UNION ALL SELECT r.producer_id, r.rn, f.expected + CASE WHEN r.sequence = f.expected THEN 1 ELSE 0 END FROM f JOIN r ON r.producer_id = f.producer_id AND r.rn = f.rn + 1)
+ SELECT r.producer_id, r."partition", r.arrival, r.sequence, CASE WHEN r.sequence = f.expected THEN 'ok' WHEN r.sequence < f.expected THEN 'duplicate' ELSE 'gap' END AS verdict FROM f JOIN r ON r.producer_id = f.producer_id AND r.rn = f.rn + 1""")
 def stream_sequences(spark, sf_dir):
     rows = O.table_stream(spark, sf_dir, "events").select(F.col("user_id").alias("producer_id"), (F.col("user_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("arrival"), (F.col("event_id") % 3).alias("sequence"))
     return O.run_available(O.accepted_sequences(rows), "sequences")
