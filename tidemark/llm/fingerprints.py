@@ -1,11 +1,12 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and pieces of paragraphs.
 
-A line is a paragraph; a blank line ends a section; parts of sentences, of a few words each, that end at words chosen by
+A line is a paragraph; a blank line ends a section, and so does a paragraph that its digest chooses, one in 16, so that a
+long text without blank lines has sections too; parts of sentences, of a few words each, that end at words chosen by
 their hash, are the leaves. Each node's digest is made of its children's, so equal roots mean equal texts, and where two
 roots differ the digests show which sections, paragraphs and pieces do. A fingerprint is the tree in a string:
-``root/section:leaves.leaves/section:...``, 6 hexadecimal digits a leaf, a dot between paragraphs. The likeness of two
-fingerprints is 1 for equal roots, else the share of leaves that both have (Dice, as multisets); sections that are
-equal on both sides are not looked into.
+``root/section:paragraph,leaves.paragraph,leaves/section:...``, 8 hexadecimal digits a section or paragraph, 6 a leaf. The likeness of
+two fingerprints is 1 for equal roots, else the share of leaves that both have (Dice, as multisets), found by descent:
+sections, then paragraphs, that are equal on both sides are taken whole and not looked into.
 
 The edited text of the contract needs the next document in order of id. Ids are dealt into ranges; each range's first
 row is also sent to the range before it (the very first row to the last range). So each text is shuffled once, and a task
@@ -33,6 +34,10 @@ from ._common import map_arrow
 LEAF_DIGITS = 6
 #: Sentences are cut at words that their hash chooses, one in so many, or after so many words or characters.
 CHOSEN, MOST_WORDS, LONGEST = 4, 6, 480
+#: Bytes of text in a range of ids, about: there are more ranges where the table is larger.
+RANGE_BYTES = 64 << 20
+#: Paragraphs that end a section by their digest: one in so many.
+SECTION = 16
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 _WORD = re.compile(r"\S*\s*")
 
@@ -57,7 +62,7 @@ def leaves(paragraph: str) -> list[str]:
 
 
 class Tree:
-    """root: hexadecimal digest; sections: (digest, paragraphs), each paragraph a list of leaf digests."""
+    """root: hexadecimal digest; sections: (digest, paragraphs), each paragraph (digest, list of leaf digests)."""
 
     __slots__ = ("root", "sections")
 
@@ -76,53 +81,66 @@ class Tree:
 
         for line in text.split("\n") if text else []:
             got = [leaf(p) for p in leaves(line)]
-            paragraphs.append([d[:3].hex() for d in got])
-            whole.append(node(b"".join(got), digest_size=16).digest())
-            if not line.strip():
+            digest = node(b"".join(got), digest_size=16).digest()
+            paragraphs.append((digest[:4].hex(), [d[:3].hex() for d in got]))
+            whole.append(digest)
+            if digest[-1] % SECTION == 0 or not line.strip():
                 close()
         if paragraphs:
             close()
         self.root = node(b"".join(digests), digest_size=16).hexdigest()
 
     def __str__(self) -> str:
-        return "/".join([self.root, *(f"{digest}:{'.'.join(''.join(p) for p in paragraphs)}" for digest, paragraphs in self.sections)])
+        return "/".join([self.root, *(f"{digest}:{'.'.join(f'{d},{"".join(p)}' for d, p in paragraphs)}" for digest, paragraphs in self.sections)])
 
 
 def parse(fingerprint: str) -> Tree:
     out = Tree.__new__(Tree)
     out.root, *sections = fingerprint.split("/")
-    cut = lambda p: [p[i : i + LEAF_DIGITS] for i in range(0, len(p), LEAF_DIGITS)]
+    cut = lambda p: (p[:8], [p[i : i + LEAF_DIGITS] for i in range(9, len(p), LEAF_DIGITS)])
     out.sections = [(s[:8], [cut(p) for p in s[9:].split(".")]) for s in sections]
     return out
 
 
+def _apart(a: list[tuple], b: list[tuple]) -> tuple[list, list, list]:
+    """Nodes that both sides have (by digest, as often as both do), and those that only a and only b have."""
+    left, both, only_b = Counter(n[0] for n in a), [], []
+    for n in b:
+        if left[n[0]] > 0:
+            left[n[0]] -= 1
+            both.append(n)
+        else:
+            only_b.append(n)
+    only_a = []
+    for n in reversed(a):
+        if left[n[0]] > 0:
+            left[n[0]] -= 1
+            only_a.append(n)
+    return both, only_a[::-1], only_b
+
+
 def likeness(a: Tree, b: Tree) -> float:
     if a.root == b.root:
         return 1.0
-    size = lambda s: sum(map(len, s[1]))
-    total = sum(map(size, a.sections)) + sum(map(size, b.sections))
+    leaves_of = lambda ps: sum(len(p[1]) for p in ps)
+    total = sum(leaves_of(s[1]) for t in (a, b) for s in t.sections)
     if not total:
         return 0.0
-    equal = Counter(s[0] for s in a.sections) & Counter(s[0] for s in b.sections)
-    both, rest = 0, []
-    for tree in (a, b):
-        left, open_ = Counter(equal), Counter()
-        for s in tree.sections:
-            if left[s[0]] > 0:
-                left[s[0]] -= 1
-                both += size(s)
-            else:
-                for p in s[1]:
-                    open_.update(p)
-        rest.append(open_)
-    return min(1.0, (both + 2 * sum((rest[0] & rest[1]).values())) / total)
+    same, mine, yours = _apart(a.sections, b.sections)
+    both = sum(leaves_of(s[1]) for s in same)
+    same, mine, yours = _apart([p for s in mine for p in s[1]], [p for s in yours for p in s[1]])
+    both += leaves_of(same)
+    mine, yours = (Counter(x for p in side for x in p[1]) for side in (mine, yours))
+    return min(1.0, 2 * (both + sum((mine & yours).values())) / total)
 
 
 def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """(section, paragraph) of a whose digests b does not have: where the edits are."""
+    """(section, paragraph) of a whose digests b does not have: where the edits are. Equal sections are not looked into."""
+    if a.root == b.root:
+        return []
     have = {s[0] for s in b.sections}
-    paragraphs = {tuple(p) for s in b.sections for p in s[1]}
-    return [(i, j) for i, s in enumerate(a.sections) if s[0] not in have for j, p in enumerate(s[1]) if tuple(p) not in paragraphs]
+    paragraphs = {p[0] for s in b.sections for p in s[1]}
+    return [(i, j) for i, s in enumerate(a.sections) if s[0] not in have for j, p in enumerate(s[1]) if p[0] not in paragraphs]
 
 
 def edited(text: str, following: str) -> str:
@@ -136,7 +154,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     bounds = sorted({int(b) for b in rows.select(key.cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     part = F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if len(bounds) <= 64 else None
     if part is None:  # many bounds: halve the search with a nested choice
@@ -158,7 +177,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each row of docs."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_paragraphs), one row for each row of docs.
+
+    edited_paragraphs: how many paragraphs of the edited text the text does not have.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # part, id, text, tree of the row that waits for the next one
@@ -172,10 +194,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     _, own_id, own, own_tree = before
                     new = edited(own, text)
                     new_tree = Tree(new) if new != own else own_tree
-                    out.append((own_id, len(own), hashlib.sha256(new.encode()).hexdigest(), str(own_tree), str(new_tree), likeness(own_tree, new_tree), likeness(own_tree, tree)))
+                    out.append((own_id, len(own), hashlib.sha256(new.encode()).hexdigest(), str(own_tree), str(new_tree), likeness(own_tree, new_tree), likeness(own_tree, tree), len(differing(new_tree, own_tree))))
                 before = None if ahead else (part, doc_id, text, tree)
-            columns = list(zip(*out)) or [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            columns = list(zip(*out)) or [[]] * 8
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_paragraphs"])
 
-    return map_arrow(with_next(docs, id_col, text_col), made, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(with_next(docs, id_col, text_col), made, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs int")
