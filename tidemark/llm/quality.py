@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 from typing import NamedTuple
 
@@ -34,6 +34,8 @@ PASSAGE, FIT_DOCS = 96, 4_000
 #: The fold that is held out: crc32(id) mod FOLDS = HELD.
 FOLDS, HELD = 3, 1
 EMBED, GATE, EPOCHS, SEED = 12, 6, 40, 9
+#: Different words of passages that are scored at once: bounds memory, whatever the texts' lengths (a document is never split).
+AT_ONCE = 20_000
 #: Word embeddings, and how fast they shrink: one that few documents teach stays near 0.
 WORDS, SHRINK = 1 << 14, 2e-3
 SIGNS = "|#%&*$<>{}=/_@"
@@ -95,7 +97,7 @@ def encode(text: str, passage: int = PASSAGE) -> Bag:
         starts.append(len(hashes))
         hashes += [zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS for w in counts] or [0]
         shares += [c / (b - a) for c in counts.values()] or [0.0]
-    return Bag(np.array(numbers, np.float64), np.array(starts, np.int64), np.array(hashes, np.int64), np.array(shares, np.float64))
+    return Bag(np.array(numbers, np.float64), np.array(starts, np.int64), np.array(hashes, np.int32), np.array(shares, np.float32))
 
 
 class Model:
@@ -163,10 +165,26 @@ class Model:
         de_words = np.stack([np.bincount(words, shares * dx[owner, j], WORDS) for j in range(EMBED)], 1)
         return {"E": de_words, "W": x.T @ dx, "b": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (tv * su).T @ de, "c": z.T @ g, "o": g.sum()}
 
-    def score(self, bags: list[Bag]) -> np.ndarray:
-        if not bags or self.p is None:
-            return np.full(len(bags), self.prior)
-        return self._forward(self._stack(bags))[-1]
+    def score(self, bags: Iterable[Bag]) -> np.ndarray:
+        """The score of each bag; takes and scores them a few at a time."""
+        out, some, words = [np.zeros(0)], [], 0
+
+        def done() -> None:
+            if some:
+                out.append(np.full(len(some), self.prior) if self.p is None else self._forward(self._stack(some))[-1])
+            some.clear()
+
+        for bag in bags:
+            some.append(bag)
+            words += len(bag.words)
+            if words >= AT_ONCE:
+                done()
+                words = 0
+        done()
+        return np.concatenate(out)
+
+    def score_texts(self, texts: Iterable[str | None]) -> np.ndarray:
+        return self.score(encode(t or "") for t in texts)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, folds: int = FOLDS, held: int = HELD) -> Model:
@@ -190,7 +208,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.score([encode(t or "") for t in batch.column("text").to_pylist()])
+            s = model.score_texts(x.as_py() for x in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), (fold(docs[id_col], folds) == held).alias("held_out"))
@@ -203,6 +221,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", least:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score([encode(t or "") for t in batch.column(text_col).to_pylist()]) >= least))
+            yield batch.filter(pa.array(model.score_texts(x.as_py() for x in batch.column(text_col)) >= least))
 
     return map_arrow(docs, kept, docs.schema)
