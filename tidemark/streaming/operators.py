@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,26 +70,29 @@ def accepted_sequences(stream: DataFrame) -> DataFrame:
 
 
 def delayed(stream: DataFrame, late: str) -> DataFrame:
-    """Messages (topic, partition, offset, ts, deliver_at) when their time has come: at once, or when the watermark passes it.
+    """Messages (topic, partition, offset, ts, deliver_at) when their time has come: at once, or when the watermark passes it; those without a time never.
 
-    Held back by topic, partition and second of delivery, so that state is spread and each key has one timer.
+    Held back by topic, partition and quarter day of delivery, so that state is spread and a call handles many messages. A key's timer is
+    its earliest second of delivery; what is due later stays.
     """
     rows = stream.withWatermark("ts", late).withColumn("due_s", F.ceil(F.unix_micros("deliver_at") / 1e6).cast("long"))
+    rows = rows.select("topic", "partition", F.floor(F.col("due_s") / 21_600).alias("block"), "offset", "due_s", "ts")
 
     def hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due_ms = int(key[2]) * 1000
-        held = [int(o) for o in state.get[0]] if state.exists else []
-        if not state.hasTimedOut:
-            held += [int(o) for pdf in batches for o in pdf["offset"]]
-        if state.hasTimedOut or state.getCurrentWatermarkMs() >= due_ms:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"topic": key[0], "partition": key[1], "offset": sorted(held), "due_s": key[2]})
-        else:
-            state.update((held,))
-            state.setTimeoutTimestamp(due_ms)
+        if pd.isna(key[2]):  # not a filter, which would go below the watermark and hold it back
+            return
+        held, new = state.get if state.exists else ((), ()), [] if state.hasTimedOut else list(batches)
+        offset, due = (np.concatenate([np.array(h, "int64"), *(pdf[c].astype("int64") for pdf in new)]) for h, c in zip(held, ("offset", "due_s")))
+        ready = due * 1000 < state.getCurrentWatermarkMs()
+        if not ready.all():
+            state.update((offset[~ready].tolist(), due[~ready].tolist()))
+            state.setTimeoutTimestamp(max(int(due[~ready].min()) * 1000, 1))
+        elif state.exists:
+            state.remove()
+        if ready.any():
+            yield pd.DataFrame({"topic": key[0], "partition": key[1], "offset": offset[ready], "due_s": due[ready]})
 
-    return rows.groupBy("topic", "partition", "due_s").applyInPandasWithState(hold, "topic string, partition int, offset long, due_s long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("topic", "partition", "block").applyInPandasWithState(hold, "topic string, partition int, offset long, due_s long", "offsets array<long>, due array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deliveries(events: DataFrame, late: str, visible_ms: int = 30_000, retries: int = 3) -> DataFrame:
