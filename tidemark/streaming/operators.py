@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,42 +100,52 @@ def deliveries(events: DataFrame, late: str, visible_ms: int = 30_000, retries:
     """What becomes of each message of (group_id, topic, partition, offset, event, ts), event one of deliver, ack, nack, reject, extend.
 
     ack: done. reject: dead letter. nack: retried, or a dead letter beyond the retries. A delivery that nothing follows
-    before its deadline expires when the watermark passes it, and is redelivered or given up. State is one small row a message in flight.
+    before its deadline expires when the watermark passes it, and is redelivered or given up. State is four numbers a message in flight,
+    kept in blocks of offsets, so that a call handles many messages; a key's timer is the earliest of its messages' own.
     """
-    rows = events.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
+    rows = events.withWatermark("ts", late).withColumns({"ts_ms": F.unix_millis("ts"), "block": F.floor(F.col("offset") / 65_536)})
+    rows = rows.select("group_id", "topic", "partition", "block", "offset", "event", "ts_ms", "ts")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, deadline = state.get if state.exists else (0, 0)
-        out = []
-        if state.hasTimedOut:
-            out.append("expired:dlq" if count > retries else "expired:redeliver")
-            state.remove()
-        else:
-            todo = sorted((int(t), e) for pdf in batches for t, e in zip(pdf["ts_ms"], pdf["event"]))
-            open_ = state.exists
-            for t, e in todo:
+        now, flight, todo, ended = state.getCurrentWatermarkMs(), {}, defaultdict(list), []
+        if state.exists:
+            flight = {o: rest for o, *rest in zip(*state.get)}
+        for pdf in () if state.hasTimedOut else batches:
+            offsets = [None] * len(pdf) if pd.isna(key[3]) else pdf["offset"].astype("int64").tolist()
+            for o, t, e in zip(offsets, pdf["ts_ms"].astype("int64").tolist(), pdf["event"].tolist()):
+                todo[o].append((t, e))
+        for o in [o for o, (_, _, timer) in flight.items() if timer < now and o not in todo]:
+            ended.append((o, "expired:dlq" if flight.pop(o)[0] > retries else "expired:redeliver"))
+        for o, happened in todo.items():
+            open_ = o in flight
+            count, deadline, _ = flight.pop(o, (0, 0, 0))
+            for t, e in sorted(happened):
                 if e == "deliver":
                     count, deadline, open_ = count + 1, t + visible_ms, True
                 elif not open_:
-                    out.append("unknown")
+                    ended.append((o, "unknown"))
                 elif e == "extend":
                     deadline = t + visible_ms if t < deadline else deadline
                 elif e == "ack":
-                    out.append("done")
+                    ended.append((o, "done"))
                     open_ = False
                 else:
-                    out.append("dlq" if e == "reject" or count > retries else "retry")
+                    ended.append((o, "dlq" if e == "reject" or count > retries else "retry"))
                     open_ = False
             if open_:
-                state.update((int(count), int(deadline)))
-                state.setTimeoutTimestamp(max(int(deadline), state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        if out:
-            yield pd.DataFrame({"group_id": key[0], "topic": key[1], "partition": key[2], "offset": key[3], "outcome": out})
+                flight[o] = (count, deadline, max(deadline, now + 1))
+        if flight:
+            state.update(tuple(map(list, zip(*((o, *rest) for o, rest in flight.items())))))
+            state.setTimeoutTimestamp(min(timer for _, _, timer in flight.values()))
+        elif state.exists:
+            state.remove()
+        if ended:
+            offsets, outcomes = zip(*ended)
+            yield pd.DataFrame({"group_id": key[0], "topic": key[1], "partition": key[2], "offset": pd.array(offsets, "Int64"), "outcome": outcomes})
 
     schema = "group_id string, topic string, partition int, offset long, outcome string"
-    return rows.groupBy("group_id", "topic", "partition", "offset").applyInPandasWithState(step, schema, "deliveries int, deadline long", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "offsets array<long>, deliveries array<int>, deadlines array<long>, timers array<long>"
+    return rows.groupBy("group_id", "topic", "partition", "block").applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def subscribe(stream: DataFrame, assignment: DataFrame, committed: DataFrame) -> DataFrame:
