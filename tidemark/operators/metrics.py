@@ -16,10 +16,11 @@ def deltas(samples: DataFrame, keys: list[str], order: list[str], value: str) ->
     return samples.withColumn("delta", F.when(before.isNull(), 0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value)))
 
 
-def increase(samples: DataFrame, keys: list[str], order: list[str], value: str, seconds: int) -> DataFrame:
-    """Increase and rate a second of each counter in windows of so many seconds."""
+def increase(samples: DataFrame, keys: list[str], order: list[str], value: str, seconds: int, start: Column | None = None) -> DataFrame:
+    """Increase and rate a second of each counter in windows of so many seconds; ``start`` is a sample's window where its time does not give it."""
     rows = deltas(samples, keys, order, value)
-    start = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds) * seconds
+    if start is None:
+        start = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds) * seconds
     got = rows.groupBy(*keys, start.alias("window_s")).agg(F.sum("delta").cast("double").alias("increase"))
     return got.withColumn("rate", F.round(F.col("increase") / seconds, 9))
 
