@@ -14,6 +14,9 @@ from tidemark.llm._common import broadcast_if_small, discard, materialize, table
 
 #: Rows up to which what is looked up or dropped is broadcast, 16 bytes each; beyond, they meet in a shuffle.
 DROPPED_ROWS = 1_000_000
+#: Words that a packing worker remembers within a task, and texts that it encodes at once: less than in packing alone, as the JVM
+#: still holds what the stages before made it take, and the same workers serve the stages of the next run.
+REMEMBERED, TEXTS = 100_000, 250
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -55,7 +58,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, remembered=REMEMBERED, rows=TEXTS, forget=True)
 
 
 STAGES = [

@@ -138,6 +138,9 @@ class Memo:
             self.old, self.new = self.new, {}
         self.new[key] = value
 
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
     def fill(self, keys: Iterable, compute: Callable[[list], list]) -> dict:
         """A dictionary that has the values of keys, those not known computed all at once, until the next call."""
         if len(self.new) >= self.size:

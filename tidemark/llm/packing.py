@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, discard, map_arrow, materialize
+from ._common import ARROW_ROWS, Memo, discard, map_arrow, materialize
 from .token_counts import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -48,7 +48,7 @@ _LETTERS = re.compile(r"( ?([^\W\d_]+))([!-/:-@\[-`{-~]*)").fullmatch
 _PLAIN = re.compile(r" ?\S+").fullmatch
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str, remembered: int = REMEMBERED):
     if path not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -56,7 +56,8 @@ def _tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _LOADED[path] = t, Memo(REMEMBERED)
+        _LOADED[path] = t, Memo(remembered)
+    _LOADED[path][1].size = remembered
     return _LOADED[path]
 
 
@@ -124,13 +125,13 @@ def encode_words(words: list[str], tokenizer, known=lambda word: None) -> list[b
     return [out[w] for w in words]
 
 
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
+def encode(texts: list[str], path: str, remembered: int = REMEMBERED) -> list[np.ndarray]:
     """The ids of each text as unsigned 32-bit numbers, from the tokenizer at path.
 
     Texts are cut before each blank that has no white space beside it. This tokenizer's pre-tokens take at most one blank,
     in front, so all its pre-tokens end at such a cut. Words are told apart in columns, each distinct one is looked up or encoded once, and the ids are gathered.
     """
-    tokenizer, memo = _tokenizer(path)
+    tokenizer, memo = _tokenizer(path, remembered)
     easy = [i for i, t in enumerate(texts) if plain(t)]
     parts = pc.split_pattern(pa.array([texts[i] for i in easy], pa.large_string()), " ")
     at, found = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
@@ -161,19 +162,26 @@ def cut_pieces(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]
     return [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip([0, *stops], stops))]
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int, remembered: int = REMEMBERED, rows: int = ARROW_ROWS, forget: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32).
+
+    remembered, rows, forget: words that a worker remembers, texts that it encodes at once, and whether it forgets the words after
+    each task. They bound its memory and change no result.
+    """
     end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary_path(vocabulary)
         for batch in batches:
-            got = [cut_pieces(np.concatenate([ids, end]), capacity) for ids in encode([t or "" for t in batch.column("text").to_pylist()], path)]
+            got = [cut_pieces(np.concatenate([ids, end]), capacity) for ids in encode([t or "" for t in batch.column("text").to_pylist()], path, remembered)]
             at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
             k, start, length, crc = (list(x) for x in zip(*(p for g in got for p in g))) if got else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if forget:
+            _tokenizer(path, remembered)[1].clear()
 
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return map_arrow(rows, cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return map_arrow(texts, cut, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long", rows)
 
 
 def lower_bound(histogram: np.ndarray, capacity: int) -> int:
@@ -233,9 +241,9 @@ def _pack(items: DataFrame, parts: int, capacity: int, salt: int) -> DataFrame:
     return dealt.groupBy("part").applyInPandas(pack, f"{fields}, part int, bin long, offset long, open boolean")
 
 
-def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, part_pieces: int = PART_PIECES, rounds: int = ROUNDS, remembered: int = REMEMBERED, rows: int = ARROW_ROWS, forget: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece."""
-    all_pieces = materialize(pieces(docs, id_col, text_col, vocabulary, capacity, end_id), "packing-pieces")
+    all_pieces = materialize(pieces(docs, id_col, text_col, vocabulary, capacity, end_id, remembered, rows, forget), "packing-pieces")
     cols = all_pieces.columns
     whole = all_pieces.where(F.col("length") == capacity)
     done = [whole.select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
